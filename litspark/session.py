@@ -44,5 +44,6 @@ def session(app: str = "litspark", cpus: str | int = "*", partitions: int = 8) -
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
