@@ -29,3 +29,10 @@ def date_digits(c: Column | str) -> Column:
 def iso_date(digits: Column | str) -> Column:
     d = _c(digits)
     return F.concat_ws("-", F.substring(d, 1, 4), F.substring(d, 5, 2), F.substring(d, 7, 2))
+
+
+def doi(c: Column | str) -> Column:
+    """The bare DOI in lower case: resolver, scheme, escapes, invisible characters and closing punctuation aside; null where there is none."""
+    plain = F.regexp_replace(F.lower(_c(c)), "[\\u200b-\\u200f\\u2060\\ufeff\\u00ad\\s]+", "")
+    bare = F.regexp_extract(F.regexp_replace(plain, "%2f", "/"), r"(10\.[0-9]{4,9}/.+)$", 1)
+    return F.nullif(F.regexp_replace(bare, r"[.,;:)\]}>\"']+$", ""), F.lit(""))
