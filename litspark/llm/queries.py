@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litspark.functions import ids
-from litspark.llm import leakage, packing, survivor
+from litspark.llm import canonical, leakage, packing, survivor
 from litspark.session import table
 
 CAPACITY = 2048
@@ -35,6 +35,22 @@ def p4_titles(spark: SparkSession, d: str) -> DataFrame:
     return survivor.consensus(a, F.col("work_doi"), title, weight).select(F.col("grp").alias("doi"), F.col("value").alias("title"), "n")
 
 
+def _mapped(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.map_names(table(spark, d, "intake_name"), "intake_id", "typed_name", table(spark, d, "alias"), "axp_id", "alias", "ambiguous")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The program meant by each typed name, or NONE."""
+    return _mapped(spark, d).select(F.col("row_id").alias("intake_id"), F.col("entry_id").alias("axp_id"))
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per origin how many names fit exactly, fit after repair, or fit none."""
+    m = _mapped(spark, d).join(table(spark, d, "intake_name").select(F.col("intake_id").alias("row_id"), "origin"), "row_id")
+    none = F.col("entry_id") == canonical.NONE
+    return m.groupBy("origin").agg(F.count("*").alias("n"), F.count_if(~none & (F.col("score") >= 1)).alias("exact"), F.count_if(~none & (F.col("score") < 1)).alias("repaired"), F.count_if(none).alias("unmatched"))
+
+
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     """Which part of which document lies in which container of 2,048 tokens, and where in it."""
     counts = packing.token_counts(table(spark, d, "documents"), "doc_id", "text")
@@ -72,5 +88,5 @@ select min(article_id) as article_id, arg_min(article_id, (t, case when ab is nu
 from r where n > 1 group by g
 """
 
-QUERIES = {"p4_found": p4_found, "p4_titles": p4_titles, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_items": p9_items}
+QUERIES = {"p4_found": p4_found, "p4_titles": p4_titles, "p5_found": p5_found, "p5_report": p5_report, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_items": p9_items}
 SQL = {"p4_found": _P4_SQL}
