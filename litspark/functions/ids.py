@@ -36,3 +36,8 @@ def doi(c: Column | str) -> Column:
     plain = F.regexp_replace(F.lower(_c(c)), "[\\u200b-\\u200f\\u2060\\ufeff\\u00ad\\s]+", "")
     bare = F.regexp_extract(F.regexp_replace(plain, "%2f", "/"), r"(10\.[0-9]{4,9}/.+)$", 1)
     return F.nullif(F.regexp_replace(bare, r"[.,;:)\]}>\"']+$", ""), F.lit(""))
+
+
+def year(c: Column | str) -> Column:
+    """The year in a date however written (2020-01-02, 01/02/2020, 2 Jan 2020, 2020); null where there is none."""
+    return F.regexp_extract(_c(c), r"(?<![0-9])((?:19|20)[0-9]{2})(?![0-9])", 1).try_cast("int")
