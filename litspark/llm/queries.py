@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litspark.functions import ids
-from litspark.llm import canonical, leakage, packing, survivor
+from litspark.llm import canonical, leakage, linkage, packing, survivor
 from litspark.session import table
 
 CAPACITY = 2048
@@ -51,6 +51,36 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy("origin").agg(F.count("*").alias("n"), F.count_if(~none & (F.col("score") >= 1)).alias("exact"), F.count_if(~none & (F.col("score") < 1)).alias("repaired"), F.count_if(none).alias("unmatched"))
 
 
+GRANT_SOURCES = ("nih", "nsf")
+
+
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "articles").where(~F.lower(F.trim("source")).isin(*GRANT_SOURCES))
+    a = a.select(F.col("article_id").alias("id"), "title", ids.doi("doi").alias("own"), ids.doi("published_doi").alias("pub"), ids.year("publication_date").alias("year"), "journal")
+    p = table(spark, d, "paper").select(F.col("pmid").alias("id"), "title", ids.doi("doi").alias("own"), F.lit(None).cast("string").alias("pub"), F.col("pub_year").alias("year"), "journal")
+    # the published version of each preprint, and the registrants whose DOIs are preprints'
+    versions = a.where("own is not null and pub is not null and own <> pub").groupBy("own").agg(F.min("pub").alias("version"))
+    prefix = F.substring_index("own", "/", 1)
+    preprints = a.where("own is not null").groupBy(prefix.alias("prefix")).agg(F.avg((F.col("pub").isNotNull() & (F.col("pub") != F.col("own"))).cast("int")).alias("share")).where("share >= 0.02")
+
+    def side(df: DataFrame) -> DataFrame:
+        full = df.join(versions, "own", "left").withColumn("prefix", prefix).join(preprints, "prefix", "left")
+        work = F.coalesce("pub", "version", "own")
+        return full.select("id", "title", work.alias("work"), (F.col("share").isNotNull() & (work == F.col("own"))).alias("preprint"), F.array("own", "pub", "version").alias("dois"), "year", "journal")
+
+    return linkage.link(side(a), side(p))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Articles and papers that are the same work."""
+    return p7_links(spark, d).where("confidence >= 0.5").select("article_id", "pmid")
+
+
+def p7_links(spark: SparkSession, d: str) -> DataFrame:
+    """Candidate pairs of articles and papers with the confidence that they are the same work."""
+    return _links(spark, d).select(F.col("l_id").alias("article_id"), F.col("r_id").alias("pmid"), F.round("confidence", 6).alias("confidence"))
+
+
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     """Which part of which document lies in which container of 2,048 tokens, and where in it."""
     counts = packing.token_counts(table(spark, d, "documents"), "doc_id", "text")
@@ -88,5 +118,5 @@ select min(article_id) as article_id, arg_min(article_id, (t, case when ab is nu
 from r where n > 1 group by g
 """
 
-QUERIES = {"p4_found": p4_found, "p4_titles": p4_titles, "p5_found": p5_found, "p5_report": p5_report, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_items": p9_items}
+QUERIES = {"p4_found": p4_found, "p4_titles": p4_titles, "p5_found": p5_found, "p5_report": p5_report, "p7_found": p7_found, "p7_links": p7_links, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_items": p9_items}
 SQL = {"p4_found": _P4_SQL}
