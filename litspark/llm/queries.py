@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litspark.functions import ids
-from litspark.llm import canonical, leakage, linkage, packing, survivor
+from litspark.llm import canonical, leakage, linkage, packing, survivor, truncation
 from litspark.session import table
 
 CAPACITY = 2048
@@ -107,6 +107,19 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return items.groupBy("suite", "split_name").agg(F.count("*").alias("n_items"), F.count("docs").alias("n_leaked"), F.coalesce(F.sum("docs"), F.lit(0)).alias("n_docs"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose text ends before its own end."""
+    return truncation.truncated(table(spark, d, "documents"), "doc_id", "text", "source").select("doc_id")
+
+
+def p10_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Per source its documents, how many were cut, and the share."""
+    docs = table(spark, d, "documents")
+    found = truncation.truncated(docs, "doc_id", "text", "source").select("doc_id", F.lit(1).alias("hit"))
+    all_ = docs.select("doc_id", F.lower(F.trim("source")).alias("source")).join(found, "doc_id", "left").groupBy("source").agg(F.count("*").alias("n_docs"), F.count("hit").alias("n_cut"))
+    return all_.withColumn("share", F.round(F.col("n_cut") / F.col("n_docs"), 6))
+
+
 _DOI_SQL = "nullif(regexp_replace(regexp_extract(replace(regexp_replace(lower({c}), '[\\s\\x{{200b}}-\\x{{200f}}\\x{{2060}}\\x{{feff}}]', '', 'g'), '%2f', '/'), '(10\\.[0-9]{{4,9}}/.+)$', 1), '[.,;:)\\]]+$', ''), '')"
 _NO_TEXT_SQL = ", ".join("'" + t + "'" for t in survivor.NO_TEXT)
 _P4_SQL = f"""
@@ -118,5 +131,5 @@ select min(article_id) as article_id, arg_min(article_id, (t, case when ab is nu
 from r where n > 1 group by g
 """
 
-QUERIES = {"p4_found": p4_found, "p4_titles": p4_titles, "p5_found": p5_found, "p5_report": p5_report, "p7_found": p7_found, "p7_links": p7_links, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_items": p9_items}
+QUERIES = {"p4_found": p4_found, "p4_titles": p4_titles, "p5_found": p5_found, "p5_report": p5_report, "p7_found": p7_found, "p7_links": p7_links, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_sources": p10_sources}
 SQL = {"p4_found": _P4_SQL}

@@ -23,8 +23,8 @@ def _decoded(m: re.Match) -> str:
             return m.group()
 
 
-def clean(text: str) -> str:
-    """Text without markup and encoding damage, in lower case; words stay apart."""
+def tidy(text: str) -> str:
+    """Text without markup and encoding damage; words stay apart."""
     if "&" in text:
         text = html.unescape(text)
         if "&" in text and ";" in text:
@@ -35,7 +35,12 @@ def clean(text: str) -> str:
         if "Ã" in text or "â" in text or "Â" in text:
             text = _MOJIBAKE.sub(_decoded, text)
         text = unicodedata.normalize("NFKC", _INVISIBLE.sub("", text))
-    return text.lower()
+    return text
+
+
+def clean(text: str) -> str:
+    """Tidy text in lower case."""
+    return tidy(text).lower()
 
 
 def words(text: str) -> list[str]:
