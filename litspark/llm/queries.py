@@ -58,17 +58,18 @@ def _links(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "articles").where(~F.lower(F.trim("source")).isin(*GRANT_SOURCES))
     a = a.select(F.col("article_id").alias("id"), "title", ids.doi("doi").alias("own"), ids.doi("published_doi").alias("pub"), ids.year("publication_date").alias("year"), "journal")
     p = table(spark, d, "paper").select(F.col("pmid").alias("id"), "title", ids.doi("doi").alias("own"), F.lit(None).cast("string").alias("pub"), F.col("pub_year").alias("year"), "journal")
-    # the published version of each preprint, and the registrants whose DOIs are preprints'
+    # the published version of each preprint, for papers listed under their preprint's DOI
     versions = a.where("own is not null and pub is not null and own <> pub").groupBy("own").agg(F.min("pub").alias("version"))
+    # registrants whose DOIs are preprints' (one row per registrant; at most a thousand are looked at, the largest first)
     prefix = F.substring_index("own", "/", 1)
-    preprints = a.where("own is not null").groupBy(prefix.alias("prefix")).agg(F.avg((F.col("pub").isNotNull() & (F.col("pub") != F.col("own"))).cast("int")).alias("share")).where("share >= 0.02")
+    shares = a.where("own is not null").groupBy(prefix.alias("prefix")).agg(F.count("*").alias("n"), F.avg((F.col("pub").isNotNull() & (F.col("pub") != F.col("own"))).cast("int")).alias("share"))
+    preprints = [r.prefix for r in shares.orderBy(F.desc("n"), "prefix").limit(1000).where("share >= 0.02").collect()]
 
-    def side(df: DataFrame) -> DataFrame:
-        full = df.join(versions, "own", "left").withColumn("prefix", prefix).join(preprints, "prefix", "left")
-        work = F.coalesce("pub", "version", "own")
-        return full.select("id", "title", work.alias("work"), (F.col("share").isNotNull() & (work == F.col("own"))).alias("preprint"), F.array("own", "pub", "version").alias("dois"), "year", "journal")
+    def side(df: DataFrame, version: str) -> DataFrame:
+        work = F.coalesce("pub", version, "own")
+        return df.select("id", "title", work.alias("work"), (prefix.isin(*preprints) & (work == F.col("own"))).alias("preprint"), F.array("own", "pub", version).alias("dois"), "year", "journal")
 
-    return linkage.link(side(a), side(p))
+    return linkage.link(side(a, "pub"), side(p.join(versions, "own", "left"), "version"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
