@@ -10,7 +10,7 @@ A text is cut where it ends within a word or a sentence.  Three kinds of evidenc
 
 Open structures at the end (a tag, an entity, a bracket) and signs such as ``[...]`` are read from the text itself.
 
-Scale: the first pass looks at the ends of texts only and keeps the open ones.  The pass over whole texts counts the
+Scale: the first pass looks at the ends of texts only.  The pass over whole texts counts the
 wanted word groups only, by a bitmap of ``bits`` bits (a fixed size; when it is full every group is counted, which is
 slower but not wrong), and adds up within each batch before the shuffle.  No group of copies is gathered: equal texts
 collapse to one, and the sort is by range.
@@ -131,17 +131,24 @@ def tail_of(text: str) -> tuple[bool, int, int, list[int]] | None:
     return sure, sign, trailer, keys
 
 
-def open_ends(docs: DataFrame) -> DataFrame:
-    """doc_id, source, len, h (the text without blanks), sure, sign, trailer, keys of the texts that lack an end."""
+def ends_of(docs: DataFrame, prefix: int = 64) -> DataFrame:
+    """doc_id, source, len, p, h of every text, and sure, sign, trailer, keys of those that lack an end (else null).
+
+    p hashes the first ``prefix`` characters, h the beginning and the end, both without blanks: copies agree in both.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(d, s, n, h, *e) for d, s, n, h, t in zip(b["doc_id"], b["source"], b["len"], b["h"], b["tail"], strict=True) if (e := tail_of(t)) is not None]
-            yield pd.DataFrame(rows, columns=["doc_id", "source", "len", "h", "sure", "sign", "trailer", "keys"])
+            found = [tail_of(t) or (None, None, None, None) for t in b["tail"]]
+            out = b.drop(columns="tail")
+            for i, name in enumerate(("sure", "sign", "trailer", "keys")):
+                out[name] = pd.Series([f[i] for f in found], dtype=object, index=out.index)
+            yield out
 
-    squeezed = F.translate("text", BLANKS, "")
-    narrow = docs.select("doc_id", F.lower(F.trim("source")).alias("source"), F.length("text").alias("len"), F.xxhash64(squeezed).alias("h"), F.substring("text", -TAIL, TAIL).alias("tail"))
-    return narrow.mapInPandas(run, "doc_id long, source string, len int, h long, sure boolean, sign int, trailer int, keys array<long>")
+    head = F.substring(F.lower(F.translate(F.substring("text", 1, 5 * prefix), BLANKS, "")), 1, prefix)
+    tail = F.substring("text", -TAIL, TAIL)
+    narrow = docs.select("doc_id", F.lower(F.trim("source")).alias("source"), F.length("text").alias("len"), F.xxhash64(head).alias("p"), F.xxhash64(head, F.translate(tail, BLANKS, "")).alias("h"), tail.alias("tail"))
+    return narrow.mapInPandas(run, "doc_id long, source string, len int, p long, h long, sure boolean, sign int, trailer int, keys array<long>")
 
 
 def continuations(docs: DataFrame, wanted: DataFrame, bits: int = 22) -> DataFrame:
@@ -184,11 +191,9 @@ def continuations(docs: DataFrame, wanted: DataFrame, bits: int = 22) -> DataFra
     return seen.groupBy("key").agg((F.sum("n") - F.sum("stop")).alias("go_on"), F.sum("stop").alias("stop"))
 
 
-def piles(ends: DataFrame, docs: DataFrame) -> DataFrame:
+def piles(ends: DataFrame) -> DataFrame:
     """source, len, at: whether open ends of this source pile up around (1) or exactly at (2) this length."""
-    lens = docs.groupBy(F.lower(F.trim("source")).alias("source"), F.length("text").alias("len")).agg(F.count("*").alias("n_all"))
-    open_ = ends.where("trailer = 0").groupBy("source", "len").agg(F.count("*").alias("n"))
-    both = open_.join(lens, ["source", "len"])
+    both = ends.groupBy("source", "len").agg(F.count_if(F.col("trailer") == 0).alias("n"), F.count("*").alias("n_all")).where("n > 0")
     w = Window.partitionBy("source").orderBy("len")
     near, wide = F.sum("n").over(w.rangeBetween(-10, 10)), F.sum("n").over(w.rangeBetween(-200, 200))
     exact = (F.col("n") >= 4) & (F.col("n") >= 0.5 * F.col("n_all")) & (F.col("n") >= 0.2 * wide)
@@ -196,13 +201,20 @@ def piles(ends: DataFrame, docs: DataFrame) -> DataFrame:
     return both.select("source", "len", F.when(exact, 2).when(around, 1).otherwise(0).alias("at"))
 
 
-def longer_copies(docs: DataFrame, ends: DataFrame, prefix: int = 64) -> DataFrame:
-    """h of open texts that are strict prefixes of a longer text which goes on within the sentence."""
-    squeezed = F.regexp_replace(F.lower(F.translate("text", BLANKS, "")), r"(?:\[?(?:\.\.\.|…)\]?|&hellip;|[\[(](?:truncated|readmore)[\])]|\.\.\.more)$", "")
-    hashed = docs.where(F.length("text") > prefix).select(F.xxhash64(F.translate("text", BLANKS, "")).alias("h"), F.xxhash64(F.substring(squeezed, 1, prefix)).alias("p"), squeezed.alias("s"))
-    p_open = hashed.join(ends.select("h").distinct(), "h", "left_semi").select("p").distinct()
-    shared = hashed.select("h", "p").join(p_open, "p", "left_semi").distinct().groupBy("p").agg(F.count("*").alias("k")).where("k > 1").select("p")
-    texts = hashed.join(shared, "p", "left_semi").groupBy("h").agg(F.first("p").alias("p"), F.first("s").alias("s"))
+def longer_copies(docs: DataFrame, ends: DataFrame, small: int = 100_000) -> DataFrame:
+    """h of open texts that are strict prefixes of a longer text which goes on within the sentence.
+
+    Only texts that share the hash of their first characters with an open text, but not all of it, are read again.
+    """
+    hashed = ends.select("p", "h", "doc_id", "keys")
+    several = hashed.groupBy("p").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("keys").alias("n_open")).where("lo <> hi and n_open > 0").select("p")
+    wanted = cut(hashed.join(several, "p", "left_semi").groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.min("p").alias("p")))
+    if wanted.count() <= small:  # a size that was looked at; beyond it the join is by shuffle
+        wanted = F.broadcast(wanted)
+    squeezed = F.lower(F.translate("text", BLANKS, ""))
+    sign = F.regexp_replace(F.substring(squeezed, -16, 16), r"(?:\[?(?:\.\.\.|…)\]?|&hellip;|[\[(](?:truncated|readmore)[\])]|\.\.\.more)$", "")
+    bare = F.when(F.length(squeezed) > 16, F.concat(F.substring(squeezed, 1, F.length(squeezed) - 16), sign)).otherwise(squeezed)
+    texts = docs.select("doc_id", "text").join(wanted, "doc_id").select("h", "p", bare.alias("s"))
     ordered = texts.repartitionByRange(shuffle_partitions(docs.sparkSession), "p", "s").sortWithinPartitions("p", "s", "h")
 
     def goes_on(a: str, b: str) -> bool:
@@ -235,7 +247,8 @@ def longer_copies(docs: DataFrame, ends: DataFrame, prefix: int = 64) -> DataFra
 def truncated(documents: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """doc_id, source, why (longer copy, structure, sign, limit, words) of every cut text."""
     docs = documents.selectExpr(f"`{key}` as doc_id", f"`{text}` as text", f"coalesce(`{source}`, '') as source").where("text is not null and doc_id is not null")
-    ends = cut(open_ends(docs))
+    all_ends = cut(ends_of(docs))
+    ends = all_ends.where("keys is not null")
     wanted = ends.select(F.explode("keys").alias("key")).where("key <> 0")
     stats = continuations(docs, wanted)
     one = ends.select("doc_id", F.posexplode("keys").alias("k", "key")).where("key <> 0")
@@ -248,8 +261,8 @@ def truncated(documents: DataFrame, key: str, text: str, source: str) -> DataFra
         return F.when(g.go_on + g.stop >= least, g.stop / (g.go_on + g.stop))
 
     ends_here = F.coalesce(share(6, 3), share(4, 3), share(3, 3))
-    copies = longer_copies(docs, ends).withColumn("copied", F.lit(True))
-    full = ends.join(known, "doc_id", "left").join(piles(ends, docs), ["source", "len"], "left").join(copies, "h", "left")
+    copies = longer_copies(docs, all_ends).withColumn("copied", F.lit(True))
+    full = ends.join(known, "doc_id", "left").join(piles(all_ends), ["source", "len"], "left").join(copies, "h", "left")
     at, body = F.coalesce("at", F.lit(0)), F.col("trailer") == 0
     goes_on = F.coalesce(ends_here < 0.5, F.lit(False)) | (ends_here.isNull() & F.coalesce(share(2, 10) < 0.05, F.lit(False)))
     # a stump is no word of the corpus, or one that never follows the two words before it though these are common
