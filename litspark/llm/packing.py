@@ -105,5 +105,5 @@ def pack(items: DataFrame, capacity: int, bucket_rows: int = 50_000) -> DataFram
         all_["container"] = all_["local"] * buckets + bucket
         return all_[["key", "part", "n_tokens", "container", "offset_tokens"]]
 
-    hashed = items.where("n_tokens > 0").withColumn("h", F.xxhash64("key")).withColumn("bucket", F.pmod("h", F.lit(buckets)))
+    hashed = items.select("key", "n_tokens").where("key is not null and n_tokens > 0").withColumn("h", F.xxhash64("key")).withColumn("bucket", F.pmod("h", F.lit(buckets)))
     return hashed.groupBy("bucket").applyInPandas(run, "key long, part long, n_tokens long, container long, offset_tokens long")

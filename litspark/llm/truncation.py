@@ -82,7 +82,7 @@ def group_keys(kept: np.ndarray, k: int) -> np.ndarray:
     h = np.full(len(x), np.uint64(0x51ED270B + k), dtype=np.uint64)
     for i in range(k):
         part = np.zeros(len(x), dtype=np.uint64)
-        part[i:] = x[: len(x) - i]
+        part[i:] = x[: max(0, len(x) - i)]
         h = (h ^ part) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(31)
     return h.view(np.int64)
