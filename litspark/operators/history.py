@@ -38,7 +38,7 @@ def delta_store(versions: DataFrame, attrs: list[str], every: int = 16) -> DataF
 
     versions: columns entity, seen (text in time order), vid (long) and the attributes, all strings.
     """
-    part = versions.where("entity is not null and seen is not null").repartitionByRange(shuffle_partitions(versions.sparkSession), "entity", "seen", "vid")
+    part = versions.select("entity", "seen", "vid", *attrs).where("entity is not null and seen is not null").repartitionByRange(shuffle_partitions(versions.sparkSession), "entity", "seen", "vid")
     ordered = part.sortWithinPartitions("entity", "seen", "vid")
     everything = (1 << len(attrs)) - 1
 
