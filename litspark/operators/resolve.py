@@ -32,20 +32,21 @@ def clean_doi(doi: Column, published: Column) -> Column:
     return F.nullif(F.regexp_replace(d, r"^(?:https?://(?:dx\.)?doi\.[a-z]+/|doi:\s*)", ""), F.lit(""))
 
 
-def _attach(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Replay of the title rule inside one title key."""
-    pdf = pdf.sort_values("row_id").reset_index(drop=True)
-    grp, year, orphan = pdf["grp"].tolist(), pdf["yr"].tolist(), pdf["orphan"].tolist()
-    for i in range(len(pdf)):
-        if not orphan[i]:
+def replay(grp: list[int], year: list[int | None], orphan: list[bool]) -> list[int]:
+    """The title rule inside one title key: rows in row order, their groups before, their years, and whether they lack a DOI."""
+    grp = list(grp)
+    for i, alone in enumerate(orphan):
+        if not alone:
             continue
-        fits = [j for j in range(len(pdf)) if j != i and (pd.isna(year[i]) or pd.isna(year[j]) or abs(year[j] - year[i]) <= 1)]
-        if not fits:
-            continue
-        target = grp[min(fits, key=lambda j: (orphan[j], grp[j], j))]
-        mine = grp[i]
-        grp = [target if g == mine else g for g in grp]
-    return pd.DataFrame({"row_id": pdf["row_id"], "grp": grp})
+        fits = [j for j in range(len(grp)) if j != i and (year[i] is None or year[j] is None or abs(year[j] - year[i]) <= 1)]
+        if fits:
+            target, mine = grp[min(fits, key=lambda j: (orphan[j], grp[j], j))], grp[i]
+            grp = [target if g == mine else g for g in grp]
+    return grp
+
+
+def _attached(rows: pd.Series) -> pd.Series:
+    return pd.Series([replay([r["grp"] for r in rs], [None if r["yr"] is None or pd.isna(r["yr"]) else int(r["yr"]) for r in rs], [r["orphan"] for r in rs]) for rs in rows])
 
 
 def grouped(df: DataFrame) -> DataFrame:
@@ -59,7 +60,9 @@ def grouped(df: DataFrame) -> DataFrame:
     base = base.join(by_grant, ["source", "grant_id"], "left").withColumn("grp", F.coalesce("g2", "grp"))
     eligible = base.where(~F.col("grant") & (F.length("tkey") >= MIN_TITLE)).select("row_id", "tkey", "yr", "grp", F.col("doi_c").isNull().alias("orphan"))
     needed = eligible.groupBy("tkey").agg(F.count("*").alias("n"), F.max("orphan").alias("any")).where("n > 1 and any").select("tkey")
-    attached = eligible.join(needed, "tkey", "left_semi").groupBy("tkey").applyInPandas(_attach, "row_id long, grp long")
+    lists = eligible.join(needed, "tkey", "left_semi").groupBy("tkey").agg(F.sort_array(F.collect_list(F.struct("row_id", "grp", "yr", "orphan"))).alias("rs"))
+    moved = lists.select("rs", F.pandas_udf(_attached, "array<long>")("rs").alias("gs")).select(F.explode(F.arrays_zip("rs", "gs")).alias("z"))
+    attached = moved.select(F.col("z.rs.row_id").alias("row_id"), F.col("z.gs").alias("grp"))
     out = base.join(attached.withColumnRenamed("grp", "g3"), "row_id", "left").withColumn("grp", F.coalesce("g3", "grp"))
     return out.drop("g1", "g2", "g3", "tkey", "yr", "grant", "doi_c")
 

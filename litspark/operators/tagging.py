@@ -14,22 +14,31 @@ from litspark.plans.vocabulary import Compiled, Vocabulary
 
 TITLE, ABSTRACT, PRIMARY = 20, 3, 6
 NONE = "Non-descript"
-# Phrases that hold an alias but do not name the organism or cell.
+# Phrases that hold an alias but do not name the organism or cell, each with the literals any match holds.
 CONTEXT = (
-    r"(?<![A-Za-z0-9])(?i:ad[\s-]+(?:hoc|libitum|lib|infinitum|interim|nauseam|hominem|valorem))(?![A-Za-z0-9])",
-    r"Washington,?\s*D\.?\s?C\.?(?![A-Za-z0-9])",
-    r"(?<![A-Za-z0-9])DC[\s-]+(?i:current|voltage|power|bias|motor|field)(?![A-Za-z0-9])",
-    r"(?<![A-Za-z0-9])[A-Za-z0-9+]+(?:-[A-Za-z0-9+]+)*-(?i:negative|seronegative|uninfected)(?![A-Za-z0-9])",
-    r"(?<![A-Za-z0-9])[A-Z][A-Za-z0-9+]*(?:-[A-Za-z0-9+]+)*\s+(?i:negative|seronegative|uninfected)(?![A-Za-z0-9])",
+    (("ad hoc", "ad lib", "ad-hoc", "ad-lib", "ad inf", "ad int", "ad nau", "ad hom", "ad val"), r"(?<![A-Za-z0-9])(?i:ad[\s-]+(?:hoc|libitum|lib|infinitum|interim|nauseam|hominem|valorem))(?![A-Za-z0-9])"),
+    (("washington",), r"Washington,?\s*D\.?\s?C\.?(?![A-Za-z0-9])"),
+    (("dc ", "dc-"), r"(?<![A-Za-z0-9])DC[\s-]+(?i:current|voltage|power|bias|motor|field)(?![A-Za-z0-9])"),
+    (("negative", "uninfected"), r"(?<![A-Za-z0-9])[A-Za-z0-9+]+(?:-[A-Za-z0-9+]+)*?-(?i:negative|seronegative|uninfected)(?![A-Za-z0-9])"),
+    (("negative", "uninfected"), r"(?<![A-Za-z0-9])[A-Z][A-Za-z0-9+]*(?:-[A-Za-z0-9+]+)*\s+(?i:negative|seronegative|uninfected)(?![A-Za-z0-9])"),
 )
 
 
-def match_text(c: Column) -> Column:
-    """Text as it is matched: no tags, no look-alike phrases, and shouted texts in lower case."""
-    t = F.regexp_replace(F.coalesce(c, F.lit("")), r"<[^>]+>", "")
-    t = F.regexp_replace(t, "|".join(f"(?:{p})" for p in CONTEXT), " ")
-    letters = F.regexp_replace(t, r"[^\p{L}]", "")
-    return F.when((F.length(letters) >= 12) & ~t.rlike(r"\p{Ll}"), F.lower(t)).otherwise(t)
+def _with_match_text(df: DataFrame, raw: Column, out: str) -> DataFrame:
+    """df with ``out``, the text as it is matched, and ``out``_low: no tags, no look-alike phrases, shouted texts in lower case.
+
+    Each step is a column of its own, so that none is computed twice.
+    """
+    df = df.withColumn(out, F.regexp_replace(F.coalesce(raw, F.lit("")), r"<[^>]+>", "")).withColumn(f"{out}_low", F.lower(out))
+    cleaned = F.col(out)
+    for literals, pattern in CONTEXT:
+        held = F.lit(False)
+        for x in literals:
+            held = held | F.col(f"{out}_low").contains(x)
+        df = df.withColumn(out, F.when(held, F.regexp_replace(cleaned, pattern, " ")).otherwise(cleaned))
+        cleaned = F.col(out)
+    shouted = ~cleaned.rlike(r"\p{Ll}") & (F.length(F.regexp_replace(cleaned, r"[^\p{L}]", "")) >= 12)
+    return df.withColumn(out, F.when(shouted, F.lower(cleaned)).otherwise(cleaned)).withColumn(f"{out}_low", F.lower(out))
 
 
 def _count(text: Column, lowered: Column, c: Compiled) -> Column:
@@ -44,34 +53,29 @@ def _count(text: Column, lowered: Column, c: Compiled) -> Column:
 def scored(df: DataFrame, vocab: Vocabulary, title: str | None, abstract: str) -> DataFrame:
     """df with __s: an array of (score, -place, name, in title, in abstract), one entry per category."""
     cats = vocab.compiled()
-    work = df.withColumn("__t", match_text(F.col(title)) if title else F.lit("")).withColumn("__a", match_text(F.col(abstract)))
-    work = work.withColumn("__tl", F.lower("__t")).withColumn("__al", F.lower("__a"))
-    counts = [F.struct(_count(F.col("__t"), F.col("__tl"), c).alias("t"), _count(F.col("__a"), F.col("__al"), c).alias("a")) for c in cats]
-    work = work.withColumn("__n", F.array(*counts)).drop("__t", "__a", "__tl", "__al")
+    work = _with_match_text(_with_match_text(df, F.col(title) if title else F.lit(""), "__t"), F.col(abstract), "__a")
+    counts = [F.struct(_count(F.col("__t"), F.col("__t_low"), c).alias("t"), _count(F.col("__a"), F.col("__a_low"), c).alias("a")) for c in cats]
+    work = work.withColumn("__n", F.array(*counts)).drop("__t", "__a", "__t_low", "__a_low")
     names = F.array(*[F.lit(c.name) for c in cats])
     entry = F.transform("__n", lambda n, i: F.struct((n.t * TITLE + n.a * ABSTRACT).alias("score"), (-i).alias("ord"), F.get(names, i).alias("name"), (n.t > 0).alias("t"), (n.a > 0).alias("a")))
     return work.withColumn("__s", entry).drop("__n")
 
 
 def tagged(df: DataFrame, vocab: Vocabulary, prefix: str, title: str | None, abstract: str, ties: str = "list") -> DataFrame:
-    """df with primary_<prefix> and <prefix>_hits (array).  ties: ``list`` (vocabulary order) or ``name``."""
+    """df with primary_<prefix>, <prefix>_hits (array of names) and <prefix>_placed (name;Title and name;Abstract, titles first, or null).
+
+    ties: ``list`` (vocabulary order) or ``name``.
+    """
     s = scored(df, vocab, title, abstract)
     if ties == "name":
-        best = F.element_at(F.array_sort(F.transform("__s", lambda x: F.struct((-x.score).alias("neg"), x["name"].alias("name")))), 1)
-        score, name = -best["neg"], best["name"]
+        s = s.withColumn("__b", F.element_at(F.array_sort(F.transform("__s", lambda x: F.struct((-x.score).alias("neg"), x["name"].alias("name"), x.score.alias("score")))), 1))
     else:
-        best = F.array_max("__s")
-        score, name = best["score"], best["name"]
+        s = s.withColumn("__b", F.array_max("__s"))
     hits = F.transform(F.filter("__s", lambda x: x.score > 0), lambda x: x["name"])
-    return s.withColumn(f"primary_{prefix}", F.when(score >= PRIMARY, name).otherwise(NONE)).withColumn(f"{prefix}_hits", hits).drop("__s")
-
-
-def placed_hits(df: DataFrame, vocab: Vocabulary, title: str | None, abstract: str, out: str) -> DataFrame:
-    """df with ``out``: name;Title and name;Abstract of each hit, titles first; null where there is none."""
-    s = scored(df, vocab, title, abstract)
     where = lambda flag, label: F.transform(F.filter("__s", lambda x: x[flag]), lambda x: F.concat(x["name"], F.lit(f";{label}")))
-    both = F.concat(where("t", "Title"), where("a", "Abstract"))
-    return s.withColumn(out, F.when(F.size(both) > 0, both)).drop("__s")
+    placed = F.concat(where("t", "Title"), where("a", "Abstract"))
+    s = s.withColumn(f"primary_{prefix}", F.when(F.col("__b.score") >= PRIMARY, F.col("__b.name")).otherwise(NONE))
+    return s.withColumn(f"{prefix}_hits", hits).withColumn(f"{prefix}_placed", F.when(F.size(placed) > 0, placed)).drop("__s", "__b")
 
 
 def two_tier(df: DataFrame, vocab: Vocabulary, background: list[str], out: str, title: str | None, abstract: str) -> DataFrame:

@@ -103,9 +103,8 @@ def tag_virus(spark: SparkSession, d: str) -> DataFrame:
 
 def tag_cell_hits(spark: SparkSession, d: str) -> DataFrame:
     """Cell types, generic ones masked by specific ones, with the place of each hit; ties by name."""
-    a = table(spark, d, "articles")
-    t = tagging.placed_hits(tagging.tagged(a, vocabulary.CELLS, "cell", *_TEXTS, ties="name"), vocabulary.CELLS, *_TEXTS, "placed")
-    return t.select("article_id", "primary_cell", F.array_join("placed", "|").alias("placed"))
+    t = tagging.tagged(table(spark, d, "articles"), vocabulary.CELLS, "cell", *_TEXTS, ties="name")
+    return t.select("article_id", "primary_cell", F.array_join("cell_placed", "|").alias("placed"))
 
 
 def tag_modality(spark: SparkSession, d: str) -> DataFrame:
