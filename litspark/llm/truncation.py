@@ -45,7 +45,8 @@ _OPEN_TAG = re.compile(r"<[a-zA-Z/!][^<>]*$|<$")
 _OPEN_ENTITY = re.compile(r"&(?:#[0-9xX]?[0-9a-fA-F]*|[a-zA-Z]{1,8})?$")
 _BREAK = re.compile(r"\n+|</?(?:p|br|li|div|ul|h\d)\b[^<>]*>")
 _TRAILER = re.compile(r"^(?:[-•*–]\s|[A-Z][\w ]{1,28}:\s|(?:[Rr]egistered|[Tt]rial registration)\b|https?://|\S+@\S+$|©|DOI)")
-_TOKEN = re.compile(r"\w+(?:['’]\w+)*|[.!?…]+|\n+|[,;:()]")
+# a closing bracket does not come between a word and what follows it
+_TOKEN = re.compile(r"\w+(?:['’]\w+)*|[.!?…]+|\n+|[,;:(]")
 _SEED = 7
 END, MID = 1, 2
 
@@ -55,7 +56,7 @@ def _token_id(token: str) -> int:
     c = token[0]
     if c in ".!?…\n":
         return END
-    if c in ",;:()":
+    if c in ",;:(":
         return MID
     if any(ch.isdigit() for ch in token):
         return 3
