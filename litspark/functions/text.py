@@ -10,7 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The formatting tags that survive cleaning, and the entities that are decoded by plain replacement.
-SAFE_TAGS = "i|b|em|strong|sub|sup|br"
+_KEPT = {
+    "i": ("i", "italic", "jats:italic"), "b": ("b", "bold", "jats:bold"), "em": ("em",), "strong": ("strong",), "sub": ("sub", "jats:sub"), "sup": ("sup", "jats:sup"), "br": ("br",),
+}
+_BLOCKS = "p|div|li|ul|ol|section|h[1-6]|jats:p|jats:title|jats:sec|jats:list-item"
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 _NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " "}
 
@@ -49,20 +52,21 @@ def decode_entities(c: Column | str) -> Column:
 
 
 def sanitize_html(c: Column | str) -> Column:
-    """Only plain formatting tags are left, without attributes; everything else is text and escaped."""
-    t = _replace_all(_c(c), ENTITIES)
-    t = F.regexp_replace(t, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", "")
-    t = F.regexp_replace(t, r"(?s)<!--.*?-->", "")
-    t = F.regexp_replace(t, r"(?i)<(/?)(?:jats:)?italic\b[^<>]*>", "<$1i>")
-    t = F.regexp_replace(t, r"(?i)<(/?)(?:jats:)?bold\b[^<>]*>", "<$1b>")
-    t = F.regexp_replace(t, r"(?i)<(/?)jats:(sub|sup)\b[^<>]*>", "<$1$2>")
-    t = F.regexp_replace(t, r"(?i)</?(?:p|div|li|ul|ol|section|h[1-6]|jats:(?:p|title|sec|list-item))\b[^<>]*>", " ")
-    t = F.regexp_replace(t, rf"(?i)<(/?)({SAFE_TAGS})(?:\s[^<>]*)?/?>", "<$1$2>")
-    t = F.regexp_replace(t, rf"(?i)</?(?!(?:{SAFE_TAGS})>)[a-z][a-z0-9:_.-]*(?:\s[^<>]*)?/?>", "")
+    """Only plain formatting tags are left, without attributes; everything else is text and escaped.
+
+    Wanted tags are set aside as private-use characters, all other markup goes, the rest is escaped, and the tags come back.
+    """
+    t = F.translate(_replace_all(_c(c), ENTITIES), "".join(chr(0xE000 + i) for i in range(2 * len(_KEPT))), "")
+    t = F.regexp_replace(t, r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", "")
+    for i, names in enumerate(_KEPT.values()):
+        t = F.regexp_replace(t, rf"(?i)<(?:{'|'.join(names)})(?:\s[^<>]*)?/?>", chr(0xE000 + 2 * i))
+        t = F.regexp_replace(t, rf"(?i)</(?:{'|'.join(names)})\s*>", chr(0xE001 + 2 * i))
+    t = F.regexp_replace(F.regexp_replace(t, rf"(?i)</?(?:{_BLOCKS})(?:\s[^<>]*)?/?>", " "), r"(?i)</?[a-z][\w:.-]*(?:\s[^<>]*)?/?>", "")
     t = F.trim(F.regexp_replace(t, r"[ \t]{2,}", " "))
-    t = _replace_all(t, (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")))
-    t = F.regexp_replace(t, rf"(?i)&lt;(/?)({SAFE_TAGS})&gt;", "<$1$2>")
-    return F.regexp_replace(t, r"&amp;(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]{1,30});", "&$1;")
+    t = F.regexp_replace(t, r"&(?!#?\w{1,31};)", "&amp;")
+    t = _replace_all(t, (("<", "&lt;"), (">", "&gt;")))
+    back = tuple(p for i, name in enumerate(_KEPT) for p in ((chr(0xE000 + 2 * i), f"<{name}>"), (chr(0xE001 + 2 * i), f"</{name}>")))
+    return _replace_all(t, back)
 
 
 def html_to_text(c: Column | str) -> Column:

@@ -99,3 +99,11 @@ def overridden(tags: DataFrame, terms: DataFrame, lookup: DataFrame, axis: str)
     )
     tag = F.coalesce("mapped", F.when(F.col("tag") == NONE, F.col("unmapped")), "tag")
     return tags.join(first, "id", "left").select("id", tag.alias("tag"))
+
+
+def longest_category(df: DataFrame, label: str, vocab: Vocabulary, out: str) -> DataFrame:
+    """df with ``out``: the category whose alias matches the longest part of the label (the first on a tie), else the label itself."""
+    text = F.regexp_replace(label, "[-/]", " ")
+    found = [F.struct(F.length(F.regexp_extract(text, c.pattern, 0)).alias("n"), F.lit(-i).alias("o"), F.lit(c.name).alias("name")) for i, c in enumerate(vocab.compiled())]
+    best = F.array_max(F.array(*found))
+    return df.withColumn("__b", best).withColumn(out, F.when(F.col("__b.n") > 0, F.col("__b.name")).otherwise(F.col(label))).drop("__b")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from litspark.functions import ids, text
-from litspark.operators import evaluate, landscape, logs, registry, trials
+from litspark.operators import evaluate, landscape, logs, registry, tagging, trials
+from litspark.plans.vocabulary import Vocabulary
 from litspark.session import table
 from litspark.streaming import logs as streams
 
@@ -287,6 +288,59 @@ def stream_rate(spark: SparkSession, d: str) -> DataFrame:
     return streams.drain(streams.sliding_rate(streams.read_stream(spark, d, "events"), "event_type")).groupBy("event_type").agg(F.max("n").alias("peak"))
 
 
+CONDITIONS = Vocabulary("condition", {"Glioma": ["glioma", "midline glioma", "glioblastoma"], "Carcinoma": ["carcinoma", "adenocarcinoma"], "Cancer": ["cancer"], "Sarcoma": ["osteosarcoma"]})
+
+
+def condition_categories(spark: SparkSession, d: str) -> DataFrame:
+    """Conditions of trials mapped to categories by the longest match."""
+    c = _latest(spark, d).select(F.explode("rec.conditions").alias("label")).distinct()
+    return tagging.longest_category(c, "label", CONDITIONS, "category")
+
+
+def text_references(spark: SparkSession, d: str) -> DataFrame:
+    """Trials that documents name."""
+    return registry.references_in(table(spark, d, "documents"), "doc_id", "text").where("kind = 'trial'").select("doc_id", "ref")
+
+
+def clean_proposals(spark: SparkSession, d: str) -> DataFrame:
+    """Press names that no other source has and only one program claims."""
+    a = table(spark, d, "alias").select("axp_id", F.lower("alias").alias("k"), "source").distinct()
+    return registry.accept_clean(a.where("source = 'press'").select("axp_id", "k"), a.where("source <> 'press'"), "k")
+
+
+def query_members(spark: SparkSession, d: str) -> DataFrame:
+    """Deliveries per snapshot that one query matched."""
+    o = table(spark, d, "observation").where(F.array_contains(F.from_json("matched_queries", "array<string>"), "cart"))
+    return o.groupBy("snapshot_date").agg(F.count("*").alias("n"))
+
+
+def modality_trials(spark: SparkSession, d: str) -> DataFrame:
+    """Trials with an intervention of a vaccine program."""
+    vaccine = table(spark, d, "program").where("modality = 'vaccine'").select("axp_id")
+    return intervention_links(spark, d).join(vaccine, "axp_id", "left_semi").select("nct_id").distinct()
+
+
+def snapshot_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Consecutive snapshots, their distance in days, and the day from which the next one would be fetched."""
+    w = Window.orderBy("snapshot_date")
+    s = table(spark, d, "snapshot").select("snapshot_date", F.lag("snapshot_date").over(w).alias("prev"))
+    day = F.col("snapshot_date").cast("date")
+    return s.select("snapshot_date", "prev", F.datediff(day, F.col("prev").cast("date")).alias("days"), F.date_add(day, 1).cast("string").alias("next_from"))
+
+
+def weekly_digest(spark: SparkSession, d: str) -> DataFrame:
+    """Events per week, type and significance."""
+    week = F.date_trunc("week", F.col("event_date").cast("timestamp")).cast("date").cast("string")
+    return change_events(spark, d).groupBy(week.alias("week"), "change_type", "significance").agg(F.count("*").alias("n"), F.countDistinct("nct_id").alias("n_trials"))
+
+
+def searchable_programs(spark: SparkSession, d: str) -> DataFrame:
+    """Programs with a fragment in any of their names or fields."""
+    names = table(spark, d, "alias").groupBy("axp_id").agg(F.array_join(F.sort_array(F.collect_set("alias")), " ").alias("names"))
+    p = table(spark, d, "program").join(names, "axp_id", "left")
+    return p.where(F.lower(F.concat_ws(" ", "preferred_name", "modality", "platform", "sponsor", "names")).contains("gene")).select("axp_id")
+
+
 # ---- SQL ----------------------------------------------------------------------------------------------------------
 
 _N = "'NCT' || regexp_extract(upper(nct_id), 'NCT[^0-9A-Z]*([0-9]{8})', 1)"
@@ -315,6 +369,7 @@ union all select p.k, nd, 'dropped' from p join s using (d) where nd is not null
     "date_labels": f"{_LATEST}, v as (select k, r->>'start_date' s, case when regexp_matches(r->>'overall_status', '(?i)active|recruiting|enrolling') then 'Ongoing' else r->>'completion_date' end e, r->>'overall_status' t from l) select k as nct_id, concat_ws(' | ', 'Start: ' || nullif(s, ''), 'End: ' || nullif(e, ''), 'Status: ' || nullif(t, '')) as label from v",
     "alias_keys": f"select distinct alias, {_KEY.format(c='alias')} as key from alias where regexp_full_match(alias, '[\\x00-\\x7F]*')",
     "intervention_links": f"{_LATEST}, x as (select k, unnest(from_json(r->'interventions', '[{{\"name\":\"VARCHAR\"}}]')) e from l), a as (select distinct axp_id, {_KEY.format(c='alias')} key from alias where regexp_full_match(alias, '[\\x00-\\x7F]*')) select distinct x.k as nct_id, axp_id from x join a on a.key = {_KEY.format(c='e.name')} where regexp_full_match(e.name, '[\\x00-\\x7F]*') and a.key <> ''",
+    "modality_trials": f"{_LATEST}, x as (select k, unnest(from_json(r->'interventions', '[{{\"name\":\"VARCHAR\"}}]')) e from l), a as (select distinct axp_id, {_KEY.format(c='alias')} key from alias where regexp_full_match(alias, '[\\x00-\\x7F]*')) select distinct x.k as nct_id from x join a on a.key = {_KEY.format(c='e.name')} where regexp_full_match(e.name, '[\\x00-\\x7F]*') and a.key <> '' and axp_id in (select axp_id from program where modality = 'vaccine')",
     "program_survivors": "with recursive c as (select axp_id a, axp_id f, 0 n from program union all select a, replaced_by, n + 1 from c join program p on p.axp_id = c.f where trim(replaced_by) <> '' and n < 8) select a as axp_id, arg_max(f, n) as final_id from c group by 1",
     "registry_totals": "select (select count(*) from program) as programs, (select count(*) from program where status = 'active') as active, (select count(*) from virus) as viruses, (select count(distinct alias) from alias) as names",
     "program_names": "with a as (select axp_id, alias, min(case alias_type when 'inn' then 0 when 'brand' then 1 when 'code' then 2 else 3 end) rk from alias where ambiguous = 0 group by 1, 2), r as (select *, row_number() over (partition by axp_id order by rk, alias) n from a) select axp_id, string_agg(alias, '; ' order by n) as names from r where n <= 3 group by 1",
@@ -327,6 +382,11 @@ union all select 'bad_created', axp_id from program where not coalesce(regexp_fu
 union all select 'virus_without_program', axp_id from virus where axp_id not in (select axp_id from program) union all select 'alias_key_missing', alias from alias where alias_key is null union all select 'alias_repeated', alias from alias group by axp_id, alias having count(*) > 1""",
     "taxon_deepest": "select s_suppkey as id, case when n_nationkey % 2 = 0 then n_name else r_name end as category from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey",
     "grant_rollup": "select l_orderkey, min(year(l_shipdate)) as first_year, max(year(l_shipdate)) as last_year, arg_max(l_returnflag, (year(l_shipdate), l_linenumber, l_partkey, l_suppkey)) as l_returnflag from lineitem group by 1",
+    "text_references": "select distinct doc_id, unnest(regexp_extract_all(text, 'NCT[0-9]{8}')) as ref from documents",
+    "clean_proposals": "with a as (select distinct axp_id, lower(alias) k, source from alias) select distinct axp_id, k from a where source = 'press' and k not in (select k from a where source <> 'press') and k in (select k from a where source = 'press' group by 1 having count(distinct axp_id) = 1)",
+    "query_members": "select snapshot_date, count(*) as n from observation where list_contains(from_json(matched_queries, '[\"VARCHAR\"]'), 'cart') group by 1",
+    "snapshot_pairs": "select snapshot_date, lag(snapshot_date) over w as prev, date_diff('day', lag(snapshot_date) over w::date, snapshot_date::date) as days, (snapshot_date::date + 1)::varchar as next_from from snapshot window w as (order by snapshot_date)",
+    "searchable_programs": "select axp_id from program left join (select axp_id, string_agg(distinct alias, ' ') names from alias group by 1) using (axp_id) where contains(lower(concat_ws(' ', preferred_name, modality, platform, sponsor, names)), 'gene')",
     "log_daily": "select ts::date as day, " + ", ".join(f"count(*) filter (event_type = '{k}') as {k}" for k in KINDS) + " from events group by 1",
     "log_clients": "select case when user_id % 7 = 0 then 'connector' else 'client-' || (user_id % 7) end as client, event_type as channel, count(*) as events, count(*) filter (event_type = 'view') as searches, count(distinct user_id) as sessions, min(ts) as first_seen, max(ts) as last_seen from events group by 1, 2",
     "log_quality": "select count(*) as searches, count(*) filter (value < 5) as empty, round(100 * avg((value < 5)::int), 1) as empty_pct, round(quantile_cont(value, 0.5), 2) as median_seconds, round(quantile_cont(value, 0.9), 2) as p90_seconds from events where event_type = 'view'",
@@ -341,6 +401,6 @@ QUERIES = {
     for f in (
         change_events, status_changes, change_feed, content_hashes, unseen_versions, observed_versions, matched_queries, first_seen, new_dropped, snapshot_status, trials_tried, phase_histogram, interventions, date_labels,
         cited_papers, alias_keys, alias_keys_wide, window_hits, evidence_links, trial_links, intervention_links, program_survivors, registry_totals, program_names, grouped_listing, disease_view, indication_groups, program_graph,
-        program_cards, dq_violations, taxon_deepest, grant_rollup, log_daily, log_clients, log_quality, log_sources, log_recent, stream_daily, stream_sessions, stream_rate,
+        program_cards, dq_violations, taxon_deepest, grant_rollup, log_daily, log_clients, log_quality, log_sources, log_recent, stream_daily, stream_sessions, stream_rate, condition_categories, text_references, clean_proposals, query_members, modality_trials, snapshot_pairs, weekly_digest, searchable_programs,
     )
 }
