@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from litspark.session import shuffle_partitions
 
 OPEN_END = "9999-12-31"
-_NULL = "\x00"
+_NULL = "\ue000"  # stands for null inside the folds; a private-use character
 
 
 def loose(value: Column) -> Column:
