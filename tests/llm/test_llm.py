@@ -141,6 +141,35 @@ def test_linkage(spark):
     assert linkage.link(spark.createDataFrame([], schema), spark.createDataFrame(right, schema)).count() == 0
 
 
+def test_misspelt_and_cut_titles_meet(spark):
+    rnd = random.Random(8)
+    fill = [f"w{chr(97 + i)}{chr(97 + i)}ord" for i in range(26)]
+    schema = "id string, title string, dois array<string>"
+    left, right = [], []
+    for i in range(60):
+        words = [rnd.choice(fill[:8]), *rnd.sample(fill, 8), f"drug{i}x", f"gene{i}y", *rnd.sample(fill, 4)]
+        left.append((f"a{i}", " ".join(words), []))
+        bad = list(words)
+        if i % 3 == 0:  # all rare words and one more misspelt
+            bad[9], bad[10], bad[11] = f"drg{i}qx", f"gee{i}qy", f"zz{i}"
+        elif i % 3 == 1:  # cut before the rare end
+            bad = bad[:9]
+        else:  # two misspelt words beside the rare ones
+            bad[2], bad[3], bad[4] = f"yy{i}", f"vv{i}", f"uu{i}"
+        right.append((f"p{i}", " ".join(bad), []))
+    norm = F.pandas_udf(linkage.normal_title, "struct<norm:string,cut:boolean>")
+    side = lambda rows: spark.createDataFrame(rows, schema).withColumn("norm", norm("title")["norm"])
+    got = {(r.l_id, r.r_id) for r in linkage.candidates(side(left), side(right), 20_000).collect()}
+    near = lambda x, y: len(set(x.split()) & set(y.split())) >= 0.7 * min(len(set(x.split())), len(set(y.split())))
+    assert {(f"a{i}", f"p{i}") for i in range(60)} <= got
+    assert {(x[0], y[0]) for x in left for y in right if near(x[1], y[1]) and x[0][1:] == y[0][1:]} <= got
+
+
+def test_title_keys_widen_with_the_corpus():
+    rare, often = linkage.keys_of("a b c d e f g h", dict.fromkeys("bcdefg", 40), 1000), linkage.keys_of("a b c d e f g h", dict.fromkeys("bcdefg", 400), 1000)
+    assert "b|c" in rare and "b|c" not in often and "b|c|d" in often and "a" in rare and "h" in often and "^abcdefg" in often
+
+
 def _passage(rnd, n):
     return " ".join(rnd.choice(WORDS) for _ in range(n))
 
