@@ -157,10 +157,23 @@ def trial_links(spark: SparkSession, d: str) -> DataFrame:
     return registry.trial_links(t, _aliases(spark, d), table(spark, d, "program"))
 
 
+_ASCII_KEY = "^[A-Z0-9]+$"
+
+
+def _name_links(spark: SparkSession, d: str) -> DataFrame:
+    """Interventions whose whole name is an alias, whatever its letters."""
+    t = _latest(spark, d).select("nct_id", F.explode("rec.interventions").alias("i")).select("nct_id", text.alias_key("i.name").alias("key"))
+    return t.join(_aliases(spark, d), "key").select("nct_id", "axp_id", "key")
+
+
 def intervention_links(spark: SparkSession, d: str) -> DataFrame:
     """Interventions whose whole name is an alias in ASCII."""
-    t = _latest(spark, d).select("nct_id", F.explode("rec.interventions").alias("i")).select("nct_id", text.alias_key("i.name").alias("key"))
-    return t.join(_aliases(spark, d).where(F.col("key").rlike("^[A-Z0-9]+$")), "key").select("nct_id", "axp_id").distinct()
+    return _name_links(spark, d).where(F.col("key").rlike(_ASCII_KEY)).select("nct_id", "axp_id").distinct()
+
+
+def intervention_links_wide(spark: SparkSession, d: str) -> DataFrame:
+    """Interventions whose whole name is an alias beyond ASCII."""
+    return _name_links(spark, d).where(~F.col("key").rlike(_ASCII_KEY)).select("nct_id", "axp_id").distinct()
 
 
 def program_survivors(spark: SparkSession, d: str) -> DataFrame:
@@ -211,7 +224,7 @@ def program_graph(spark: SparkSession, d: str) -> DataFrame:
 def program_cards(spark: SparkSession, d: str) -> DataFrame:
     """Programs by the texts and trials that name them."""
     p = window_hits(spark, d).select("axp_id", F.lit("text").alias("kind"), F.col("id").alias("ref")).distinct()
-    t = intervention_links(spark, d).select("axp_id", F.lit("trial").alias("kind"), F.col("nct_id").alias("ref"))
+    t = _name_links(spark, d).select("axp_id", F.lit("trial").alias("kind"), F.col("nct_id").alias("ref")).distinct()
     return p.unionByName(t).groupBy("axp_id").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "trial").alias("n_trials"))
 
 
@@ -314,10 +327,19 @@ def query_members(spark: SparkSession, d: str) -> DataFrame:
     return o.groupBy("snapshot_date").agg(F.count("*").alias("n"))
 
 
-def modality_trials(spark: SparkSession, d: str) -> DataFrame:
-    """Trials with an intervention of a vaccine program."""
+def _of_vaccines(spark: SparkSession, d: str, links: DataFrame) -> DataFrame:
     vaccine = table(spark, d, "program").where("modality = 'vaccine'").select("axp_id")
-    return intervention_links(spark, d).join(vaccine, "axp_id", "left_semi").select("nct_id").distinct()
+    return links.join(vaccine, "axp_id", "left_semi").select("nct_id").distinct()
+
+
+def modality_trials(spark: SparkSession, d: str) -> DataFrame:
+    """Trials with an intervention of a vaccine program, named in ASCII."""
+    return _of_vaccines(spark, d, intervention_links(spark, d))
+
+
+def modality_trials_wide(spark: SparkSession, d: str) -> DataFrame:
+    """Trials with an intervention of a vaccine program, named beyond ASCII."""
+    return _of_vaccines(spark, d, intervention_links_wide(spark, d))
 
 
 def snapshot_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -400,7 +422,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         change_events, status_changes, change_feed, content_hashes, unseen_versions, observed_versions, matched_queries, first_seen, new_dropped, snapshot_status, trials_tried, phase_histogram, interventions, date_labels,
-        cited_papers, alias_keys, alias_keys_wide, window_hits, evidence_links, trial_links, intervention_links, program_survivors, registry_totals, program_names, grouped_listing, disease_view, indication_groups, program_graph,
-        program_cards, dq_violations, taxon_deepest, grant_rollup, log_daily, log_clients, log_quality, log_sources, log_recent, stream_daily, stream_sessions, stream_rate, condition_categories, text_references, clean_proposals, query_members, modality_trials, snapshot_pairs, weekly_digest, searchable_programs,
+        cited_papers, alias_keys, alias_keys_wide, window_hits, evidence_links, trial_links, intervention_links, intervention_links_wide, program_survivors, registry_totals, program_names, grouped_listing, disease_view, indication_groups, program_graph,
+        program_cards, dq_violations, taxon_deepest, grant_rollup, log_daily, log_clients, log_quality, log_sources, log_recent, stream_daily, stream_sessions, stream_rate, condition_categories, text_references, clean_proposals, query_members, modality_trials, modality_trials_wide, snapshot_pairs, weekly_digest, searchable_programs,
     )
 }
