@@ -1,9 +1,9 @@
 """Held-out passages inside a corpus: size-partitioned MinHash containment search, then exact checks.
 
-Passages are cut into overlapping blocks; a block's sketch is the bottom-k MinHash of its five-word shingles, so the
-share of a sketch that is found in a text estimates the containment of the block in it.  Texts are partitioned by
-size: the longer a text is, the more sketch shingles it holds by chance, so the hits that make a candidate rise with
-the size class.  Candidates are verified by exact shingle containment around the hit and by an alignment of the words,
+Passages are cut into overlapping blocks; a block's sketch is the bottom-k MinHash of its five-word shingles, k being all
+of a block's shingles unless stated otherwise, so that no shingle of a passage is overlooked.  Texts are partitioned by
+size: the longer a text is, the more shingles it holds by chance, so the hits that make a candidate rise with the size
+class, but never beyond the whole shingles that a true run keeps at the least (``fewest_hits``).  Candidates are verified by exact shingle containment around the hit and by an alignment of the words,
 which must hold ``min_words`` running words of the passage with at most one edit in ``per_edit`` words.
 
 Scale: the passages are a stated query set.  They are sent to the tasks in groups of at most ``group_items`` passages
@@ -46,7 +46,7 @@ def shingle_hashes(ids: np.ndarray) -> np.ndarray:
 class Passages:
     """One group of passages, indexed: vocabulary, sketch hashes and where in which passage they stand."""
 
-    def __init__(self, items: list[tuple[int, str]], block: int = 20, stride: int = 8, k: int = 12) -> None:
+    def __init__(self, items: list[tuple[int, str]], block: int = 20, stride: int = 8, k: int = 16) -> None:
         self.items = items
         self.vocab: dict[str, int] = {}
         self.tokens: list[np.ndarray] = []
@@ -83,6 +83,12 @@ def size_class(n: int) -> int:
     return max(0, (max(n, 1) - 1).bit_length() - 8)
 
 
+def fewest_hits(min_words: int, per_edit: int) -> int:
+    """Whole shingles that a run of at least ``min_words`` words keeps when its edits are spread for the worst."""
+    kept = lambda n: n - n // per_edit - (SHINGLE - 1) * (n // per_edit + 1)
+    return max(1, min(kept(n) for n in range(min_words, min_words + per_edit * SHINGLE + 1)))
+
+
 def _aligned(p: list[int], d: list[int], band: int) -> tuple[list[int], list[int]]:
     """Edit alignment of passage p with text d (free text ends): per passage token 1 if it is matched, and inserted tokens before it.
 
@@ -201,6 +207,7 @@ def search_batch(keys: list[int], texts: list[str], px: Passages, min_words: int
     item, diag = px.item[entry], dpos - px.place[entry]
     # hits of one passage along one stretch of diagonal (copies with edits drift a little): cells of 16, each also seen half a cell later
     classes = np.array([size_class(bounds[i + 1] - bounds[i]) for i in range(len(texts))])
+    least = np.minimum(base_hits + classes, fewest_hits(min_words, per_edit))
     found: dict[tuple[int, int], int] = {}
     tried: set[tuple[int, int, int]] = set()
     for half in (0, 8):
@@ -209,7 +216,7 @@ def search_batch(keys: list[int], texts: list[str], px: Passages, min_words: int
         k = np.stack([doc[order], item[order], cell[order]])
         starts = np.flatnonzero(np.concatenate([[True], (k[:, 1:] != k[:, :-1]).any(axis=0)]))
         ends = np.append(starts[1:], k.shape[1])
-        enough = ends - starts >= base_hits + classes[k[0, starts]]
+        enough = ends - starts >= least[k[0, starts]]
         for s, e in zip(starts[enough].tolist(), ends[enough].tolist(), strict=True):
             dc, it = int(k[0, s]), int(k[1, s])
             if (dc, it) in found and found[dc, it] >= min_words:

@@ -201,6 +201,22 @@ def test_leakage_against_brute_force(spark):
     assert leakage.contained_passages(spark.createDataFrame(docs, "k long, t string"), "k", "t", none, "k", "p").count() == 0
 
 
+def test_leakage_at_the_edge_in_long_texts(spark):
+    rnd = random.Random(12)
+    items = [(i, " ".join(rnd.sample([a + b for a in WORDS for b in WORDS], 60))) for i in range(6)]  # no word twice: one best alignment
+    docs = []
+    for d, (i, n, edits) in enumerate((i, n, edits) for i in range(6) for n, edits in ((30, (7, 15, 22)), (32, (6, 12, 19, 25)))):
+        run = items[i][1].split()[10 : 10 + n]
+        for k in edits:
+            run[k] = "changed"
+        text = [f"other{rnd.randrange(900)}" for _ in range(5000 if d % 4 < 2 else 600)]
+        text[300:300] = run
+        docs.append((d, " ".join(text), i))
+    found = leakage.contained_passages(spark.createDataFrame(docs, "k long, t string, i int"), "k", "t", spark.createDataFrame(items, "k long, p string"), "k", "p")
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(d, i) for d, _, i in docs}
+    assert leakage.fewest_hits(30, 8) == 8
+
+
 def test_longest_run():
     one = lambda bad, n=40: leakage.longest_run([int(i not in bad) for i in range(n)], [0] * (n + 1), np.arange(n), 8)
     assert one(set()) == 40 and one({20}) == 40 and one(set(range(0, 40, 2))) < 10 and one({12, 13, 14}) == 40
