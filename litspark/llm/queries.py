@@ -60,14 +60,15 @@ def _links(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "paper").select(F.col("pmid").alias("id"), "title", ids.doi("doi").alias("own"), F.lit(None).cast("string").alias("pub"), F.col("pub_year").alias("year"), "journal")
     # the published version of each preprint, for papers listed under their preprint's DOI
     versions = a.where("own is not null and pub is not null and own <> pub").groupBy("own").agg(F.min("pub").alias("version"))
-    # registrants whose DOIs are preprints' (one row per registrant; at most a thousand are looked at, the largest first)
+    # registrants whose DOIs are preprints', one row each
     prefix = F.substring_index("own", "/", 1)
     shares = a.where("own is not null").groupBy(prefix.alias("prefix")).agg(F.count("*").alias("n"), F.avg((F.col("pub").isNotNull() & (F.col("pub") != F.col("own"))).cast("int")).alias("share"))
-    preprints = [r.prefix for r in shares.orderBy(F.desc("n"), "prefix").limit(1000).where("share >= 0.02").collect()]
+    preprints = shares.where("share >= 0.02").select(F.col("prefix").alias("registrant"), F.lit(True).alias("registers"))
 
     def side(df: DataFrame, version: str) -> DataFrame:
         work = F.coalesce("pub", version, "own")
-        return df.select("id", "title", work.alias("work"), (prefix.isin(*preprints) & (work == F.col("own"))).alias("preprint"), F.array("own", "pub", version).alias("dois"), "year", "journal")
+        df = df.join(preprints, prefix == F.col("registrant"), "left")
+        return df.select("id", "title", work.alias("work"), (F.when(F.col("own").isNotNull(), F.coalesce("registers", F.lit(False))) & (work == F.col("own"))).alias("preprint"), F.array("own", "pub", version).alias("dois"), "year", "journal")
 
     return linkage.link(side(a, "pub"), side(p.join(versions, "own", "left"), "version"))
 

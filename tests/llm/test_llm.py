@@ -165,6 +165,20 @@ def test_misspelt_and_cut_titles_meet(spark):
     assert {(x[0], y[0]) for x in left for y in right if near(x[1], y[1]) and x[0][1:] == y[0][1:]} <= got
 
 
+def test_registrants_beyond_a_thousand_count(spark, tmp_path, monkeypatch):
+    from litspark.llm import queries
+
+    rows = [(i, "a title", "EPMC", f"10.{1000 + i // 2}/x{i}", None) for i in range(2400)] + [(9000, "a title", "EPMC", "10.99999/p1", "10.1000/x0")]
+    articles = spark.createDataFrame(rows, "article_id long, title string, source string, doi string, published_doi string")
+    articles.selectExpr("*", "'2020-01-01' as publication_date", "'J' as journal").write.parquet(f"{tmp_path}/articles.parquet")
+    papers = spark.createDataFrame([("1", "a title", "J", 2020, "10.99999/p2"), ("2", "a title", "J", 2020, None)], "pmid string, title string, journal string, pub_year int, doi string")
+    papers.write.parquet(f"{tmp_path}/paper.parquet")
+    monkeypatch.setattr(queries.linkage, "link", lambda left, right: (left, right))
+    left, right = queries._links(spark, str(tmp_path))
+    assert {r.id: r.preprint for r in right.collect()} == {"1": True, "2": None} and left.count() == 2401
+    assert left.where("preprint").count() == 0
+
+
 def test_title_keys_widen_with_the_corpus():
     rare, often = linkage.keys_of("a b c d e f g h", dict.fromkeys("bcdefg", 40), 1000), linkage.keys_of("a b c d e f g h", dict.fromkeys("bcdefg", 400), 1000)
     assert "b|c" in rare and "b|c" not in often and "b|c|d" in often and "a" in rare and "h" in often and "^abcdefg" in often
