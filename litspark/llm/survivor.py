@@ -9,6 +9,9 @@ progressive alignment, weighted tokens vote per column, and the existing value n
 Groups are aligned in blocks of at most ``fan_in`` values, and the blocks' consensus profiles are aligned again, level
 by level, so the work of one task is bounded whatever the size of a group.
 
+Limit: where the differing middles of two values exceed ``MOST_CELLS`` pairs of words (about 2,000 words each) they are not
+aligned; the heavier side's words stand there, and the lighter side votes for a gap at each of them.
+
 Defined results: rows without a group key belong to no group; groups of one row are left out by ``survivors`` and keep
 their only value in ``consensus``; ties go to the smallest id; blank values never win over values; empty tables give
 empty results.
@@ -22,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+MOST_CELLS = 4_000_000
 # What stands for a missing text.
 NO_TEXT = (
     "", "-", "--", "–", "—", "?", ".", "na", "n/a", "n.a.", "n.a", "nan", "null", "none", "nil", "no abstract", "no abstract available",
@@ -78,7 +82,7 @@ def align(a: Profile, b: Profile) -> Profile:
     ma, mb = a[head : len(a) - tail], b[head : len(b) - tail]
     wa, wb = sum(a[0].values()) if a else 0.0, sum(b[0].values()) if b else 0.0
     n, m = len(ma), len(mb)
-    if n * m > 4_000_000:  # values too long to align: the heavier side's words stand
+    if n * m > MOST_CELLS:  # values too long to align: the heavier side's words stand
         middle = [_joined(c, {"": wb}) for c in ma] if wa >= wb else [_joined(c, {"": wa}) for c in mb]
         return [_joined(x, y) for x, y in zip(a[:head], b[:head], strict=True)] + middle + [_joined(x, y) for x, y in zip(a[len(a) - tail :], b[len(b) - tail :], strict=True)]
     ta, tb = la[head : len(a) - tail], lb[head : len(b) - tail]
