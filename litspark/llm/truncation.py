@@ -3,7 +3,8 @@
 A text is cut where it ends within a word or a sentence.  Three kinds of evidence, each taken over all texts:
 
 * a longer copy: values are hashed by a fixed-length prefix; values that share it are sorted, and a value is a strict
-  prefix of a longer one exactly if its successor in the order starts with it (``longer_copies``);
+  prefix of a longer one exactly if its successor in the order starts with it (``longer_copies``); the prefix is 64
+  characters without blanks, so a shorter text, or a copy with other markup or entities in them, meets no longer copy;
 * the last words: how often the same last words go on, and how often they end a sentence, elsewhere in the corpus; a
   last word that is no word of the corpus is a stump (``continuations``);
 * the length: texts of one source that lack an end pile up at the source's field limit (``piles``).
