@@ -71,9 +71,9 @@ def is_code(unit: str) -> bool:
 
 
 def units(name: str) -> list[str]:
-    """Words, runs of words and codes of a typed name."""
+    """Words, runs of words and codes of a typed name, and the whole of it however many pieces it has."""
     ps = pieces(name)
-    found: dict[str, None] = {}
+    found: dict[str, None] = {"".join(p for p, _ in ps): None} if ps else {}
     for i in range(len(ps)):
         for j in range(i + 1, min(len(ps), i + MAX_PIECES) + 1):
             unit = "".join(p for p, _ in ps[i:j])

@@ -95,6 +95,14 @@ def _mapped(spark):
     return _CACHE
 
 
+@pytest.mark.parametrize("name", ["onco of the very long name of a product", "alpha of beta gamma", "AB 12 CD 34 EF 56 GH 78"])
+def test_long_names_map_to_themselves(spark, name):
+    ref = spark.createDataFrame([("P1", name, 0), ("P2", "other", 0)], "axp_id string, alias string, ambiguous int")
+    typed = spark.createDataFrame([(1, name), (2, name.upper()), (3, "no such name")], "i long, n string")
+    out = canonical.map_names(typed, "i", "n", ref, "axp_id", "alias", "ambiguous")
+    assert {(r.row_id, r.entry_id) for r in out.collect()} == {(1, "P1"), (2, "P1"), (3, canonical.NONE)}
+
+
 def test_nearest_word_against_brute_force():
     rnd = random.Random(2)
     words = ["".join(rnd.choice("abcdefg") for _ in range(rnd.randrange(6, 16))) for _ in range(150)]
