@@ -3,14 +3,15 @@
 Passages are cut into overlapping blocks; a block's sketch is the bottom-k MinHash of its five-word shingles, k being all
 of a block's shingles unless stated otherwise, so that no shingle of a passage is overlooked.  Texts are partitioned by
 size: the longer a text is, the more shingles it holds by chance, so the hits that make a candidate rise with the size
-class, but never beyond the whole shingles that a true run keeps at the least (``fewest_hits``).  Candidates are verified by exact shingle containment around the hit and by an alignment of the words,
-which must hold ``min_words`` running words of the passage with at most one edit in ``per_edit`` words.
+class, but never beyond the whole shingles that a true run keeps at the least (``fewest_hits``), so that no true run is
+too short for a long text.  Candidates are verified by exact shingle containment around the hit and by an alignment of
+the words (all candidates of a batch at once, in numpy), which must hold ``min_words`` running words of the passage with at most one edit in ``per_edit`` words.
 
 Scale: the passages are a stated query set.  They are sent to the tasks in groups of at most ``group_items`` passages
 and ``group_words`` words (a bound on what is broadcast), one pass over the corpus per group, so a larger query set
 means more passes, not larger broadcasts.  A text is searched whole, in the Arrow batch it lies in: no shuffle.
 
-Defined results: null and empty texts and passages match nothing; passages shorter than ``min_words`` match nothing;
+Defined results: null and empty texts and passages match nothing; texts of any length are searched whole; passages shorter than ``min_words`` match nothing;
 repeated texts and passages each count; results are per document and passage, once.
 """
 
@@ -89,88 +90,94 @@ def fewest_hits(min_words: int, per_edit: int) -> int:
     return max(1, min(kept(n) for n in range(min_words, min_words + per_edit * SHINGLE + 1)))
 
 
-def _aligned(p: list[int], d: list[int], band: int) -> tuple[list[int], list[int]]:
-    """Edit alignment of passage p with text d (free text ends): per passage token 1 if it is matched, and inserted tokens before it.
+def _aligned(p: np.ndarray, d: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Banded edit alignments of many passages with stretches of text, one per row, all at once.
 
-    The text is cut so that token i of the passage stands near token i + band of d.
+    p: tokens of the passages, padded with -1; d: text tokens from ``band`` before to ``band`` behind each passage, padded
+    with -2.  Returns per passage token whether it is matched, and how many text tokens are inserted before it.
     """
-    n, width, big = len(p), 2 * band + 1, 1 << 20
-    m = len(d)
-    prev = [0 if j <= m else big for j in range(width)]  # row 0: text tokens before the passage are free
-    trace: list[list[int]] = []
-    for i in range(1, n + 1):
-        row, step = [big] * width, [0] * width
-        x = p[i - 1]
-        for c in range(width):
-            j = i + c - 1  # tokens of d used (diagonal c: j - i = c - 1)
-            if j < 0 or j > m:
-                continue
-            best, how = big, 0
-            if j >= 1:
-                v = prev[c] + (x != d[j - 1])
-                if v < best:
-                    best, how = v, 1
-            if c + 1 < width and prev[c + 1] + 1 < best:
-                best, how = prev[c + 1] + 1, 2
-            if c >= 1 and row[c - 1] + 1 < best:
-                best, how = row[c - 1] + 1, 3
-            row[c], step[c] = best, how
-        trace.append(step)
+    m, n = p.shape
+    width, big = 2 * band + 1, np.int32(1 << 20)
+    lengths = (p >= 0).sum(axis=1)
+    along = np.arange(width, dtype=np.int32)
+    prev = np.zeros((m, width), dtype=np.int32)  # text tokens before the passage are free
+    last = np.where((lengths == 0)[:, None], prev, big)
+    steps = np.zeros((n, m, width), dtype=np.int8)
+    for i in range(n):
+        # diagonal c of row i uses text token i + c
+        straight = prev + (p[:, i : i + 1] != d[:, i : i + width])
+        dropped = np.concatenate([prev[:, 1:] + 1, np.full((m, 1), big, dtype=np.int32)], axis=1)
+        best = np.minimum(straight, dropped)
+        row = np.minimum.accumulate(best - along, axis=1) + along
+        steps[i] = np.where(row < best, 3, np.where(straight <= dropped, 1, 2))
         prev = row
-    c = min(range(width), key=prev.__getitem__)
-    matched, inserted = [0] * n, [0] * (n + 1)
-    i = n
-    while i > 0:
-        how, j = trace[i - 1][c], i + c - 1
-        if how == 1:
-            matched[i - 1] = int(p[i - 1] == d[j - 1])
-            i -= 1
-        elif how == 2:
-            c += 1
-            i -= 1
-        elif how == 3:
-            inserted[i] += 1
-            c -= 1
-        else:
-            break
+        last[lengths == i + 1] = row[lengths == i + 1]
+    matched, inserted = np.zeros((m, n), dtype=bool), np.zeros((m, n + 1), dtype=np.int32)
+    at, c, who = lengths.copy(), last.argmin(axis=1), np.flatnonzero(lengths > 0)
+    while len(who):
+        i, k = at[who], c[who]
+        how = steps[i - 1, who, k]
+        matched[who, i - 1] |= (how == 1) & (p[who, i - 1] == d[who, i - 1 + k])
+        inserted[who, i] += how == 3
+        c[who] = k + (how == 2) - (how == 3)
+        at[who] = i - (how != 3)
+        who = who[at[who] > 0]
     return matched, inserted
 
 
-def longest_run(matched: list[int], inserted: list[int], word_of: np.ndarray, per_edit: int) -> int:
-    """Words of the longest run of the passage with at most one edit in ``per_edit`` words."""
-    n_words = int(word_of[-1]) + 1 if len(word_of) else 0
-    wrong, extra = [0] * n_words, [0] * n_words
-    for i, w in enumerate(word_of.tolist()):
-        if not matched[i]:
-            wrong[w] = 1
-        extra[w] += inserted[i]
+def longest_run(edits: np.ndarray, per_edit: int) -> int:
+    """Words of the longest run of the passage with at most one edit in ``per_edit`` words; edits: per word."""
     # prefix value f = words - per_edit * edits; a run from a to b is good where f(b) >= f(a)
-    f, best = [0], 0
-    lowest: list[tuple[int, int]] = [(0, 0)]  # strictly falling prefix minima: (value, place)
-    for b in range(n_words):
-        f.append(f[-1] + 1 - per_edit * (wrong[b] + extra[b]))
-        if f[-1] < lowest[-1][0]:
-            lowest.append((f[-1], b + 1))
+    f, best = 0.0, 0
+    lowest: list[tuple[float, int]] = [(0.0, 0)]  # strictly falling prefix minima: (value, place)
+    for b, e in enumerate(edits.tolist(), 1):
+        f += 1 - per_edit * e
+        if f < lowest[-1][0]:
+            lowest.append((f, b))
         lo, hi = 0, len(lowest) - 1
         while lo < hi:
             mid = (lo + hi) // 2
-            if lowest[mid][0] <= f[-1]:
+            if lowest[mid][0] <= f:
                 hi = mid
             else:
                 lo = mid + 1
-        if lowest[lo][0] <= f[-1]:
-            best = max(best, b + 1 - lowest[lo][1])
+        if lowest[lo][0] <= f:
+            best = max(best, b - lowest[lo][1])
     return best
 
 
-def verify(text: np.ndarray, at: int, px: Passages, n: int, per_edit: int, band: int = 16) -> int:
-    """Longest good run of passage n around the diagonal ``at`` (text position minus passage position)."""
-    p = px.tokens[n].tolist()
-    lo = at - band
-    d = [-2] * max(0, -lo) + text[max(0, lo) : max(0, at + len(p) + band)].tolist()
-    d += [-2] * (len(p) + 2 * band - len(d))
-    matched, inserted = _aligned(p, d, band)
-    return longest_run(matched, inserted, px.word_of[n], per_edit)
+def verify(flat: np.ndarray, bounds: np.ndarray, cases: list[tuple[int, int, int]], px: Passages, min_words: int, per_edit: int, band: int = 16, cells: int = 8_000_000) -> list[int]:
+    """Words of the longest good run of each case (0 if below ``min_words``).
+
+    cases: (text, passage, diagonal: place in ``flat`` minus place in the passage).  Cases of similar length are aligned
+    together, in blocks of at most ``cells`` cells (or one case).
+    """
+    order = sorted(range(len(cases)), key=lambda x: len(px.tokens[cases[x][1]]))
+    out, at = [0] * len(cases), 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and (end + 1 - at) * len(px.tokens[cases[order[end]][1]]) * (2 * band + 1) <= cells:
+            end += 1
+        block, at = order[at:end], end
+        n = len(px.tokens[cases[block[-1]][1]])
+        p = np.full((len(block), n), -1, dtype=np.int64)
+        where = np.array([cases[x][2] - band for x in block])[:, None] + np.arange(n + 2 * band)
+        low, high = (np.array([bounds[cases[x][0] + y] for x in block])[:, None] for y in (0, 1))
+        d = np.where((where >= low) & (where < high), flat[np.clip(where, 0, len(flat) - 1)], -2)
+        for r, x in enumerate(block):
+            p[r, : len(px.tokens[cases[x][1]])] = px.tokens[cases[x][1]]
+        matched, inserted = _aligned(p, d, band)
+        for r, x in enumerate(block):
+            word_of = px.word_of[cases[x][1]]
+            k = len(word_of)
+            # edits per word of the passage; a word is wrong if any of its pieces is
+            wrong = np.bincount(word_of, weights=~matched[r, :k]) > 0
+            edits = wrong + np.bincount(word_of, weights=inserted[r, :k])
+            # a run of min_words or more is good if f rises or stays from its begin to its end
+            f = np.concatenate([[0], np.cumsum(1 - per_edit * edits)])
+            if len(f) > min_words and (f[min_words:] >= np.minimum.accumulate(f)[:-min_words]).any():
+                out[x] = longest_run(edits, per_edit)
+    return out
 
 
 def search_batch(keys: list[int], texts: list[str], px: Passages, min_words: int, per_edit: int, base_hits: int, need: float) -> list[tuple[int, int, int]]:
@@ -208,34 +215,30 @@ def search_batch(keys: list[int], texts: list[str], px: Passages, min_words: int
     # hits of one passage along one stretch of diagonal (copies with edits drift a little): cells of 16, each also seen half a cell later
     classes = np.array([size_class(bounds[i + 1] - bounds[i]) for i in range(len(texts))])
     least = np.minimum(base_hits + classes, fewest_hits(min_words, per_edit))
-    found: dict[tuple[int, int], int] = {}
-    tried: set[tuple[int, int, int]] = set()
+    tried: dict[tuple[int, int, int], None] = {}
     for half in (0, 8):
         cell = (diag + half) >> 4
-        order = np.lexsort((dpos, cell, item, doc))
+        order = np.lexsort((diag, cell, item, doc))
         k = np.stack([doc[order], item[order], cell[order]])
         starts = np.flatnonzero(np.concatenate([[True], (k[:, 1:] != k[:, :-1]).any(axis=0)]))
         ends = np.append(starts[1:], k.shape[1])
         enough = ends - starts >= least[k[0, starts]]
         for s, e in zip(starts[enough].tolist(), ends[enough].tolist(), strict=True):
-            dc, it = int(k[0, s]), int(k[1, s])
-            if (dc, it) in found and found[dc, it] >= min_words:
-                continue
-            values, times = np.unique(diag[order[s:e]], return_counts=True)
-            at = int(values[times.argmax()])
-            if (dc, it, at >> 2) in tried:
-                continue
-            tried.add((dc, it, at >> 2))
             # exact shingle containment: the share of the passage's shingles between the first and the last hit
-            span = px.place[entry[order[s:e]]]
-            spread = int(span.max() - span.min()) + 1
-            if (e - s) / max(spread, min_words - SHINGLE) < need:
-                inner = np.sort(span)
-                dense = max(np.searchsorted(inner, inner + min_words, "right") - np.arange(len(inner)))
+            span = np.sort(px.place[entry[order[s:e]]])
+            if (e - s) / max(int(span[-1] - span[0]) + 1, min_words - SHINGLE) < need:
+                dense = int((np.searchsorted(span, span + min_words, "right") - np.arange(len(span))).max())
                 if dense / (min_words - SHINGLE) < need:
                     continue
-            text = flat[bounds[dc] : bounds[dc + 1]]
-            got = verify(text, at - bounds[dc], px, it, per_edit)
+            along = diag[order[s:e]]  # sorted
+            change = np.flatnonzero(np.concatenate([[True], along[1:] != along[:-1]]))
+            at = int(along[change[np.diff(np.append(change, len(along))).argmax()]])
+            tried.setdefault((int(k[0, s]), int(k[1, s]), at))
+    # the same alignment, found from both cells, is made once
+    cases = list({(dc, it, at >> 2): (dc, it, at) for dc, it, at in tried}.values())
+    found: dict[tuple[int, int], int] = {}
+    for (dc, it, _), got in zip(cases, verify(flat, np.array(bounds), cases, px, min_words, per_edit), strict=True):
+        if got:
             found[dc, it] = max(found.get((dc, it), 0), got)
     return [(keys[dc], px.items[it][0], n) for (dc, it), n in found.items()]
 
@@ -268,7 +271,7 @@ def contained_passages(
                 keys, texts = b["k"].tolist(), b["t"].tolist()
                 for i in range(0, len(keys), 2000):
                     rows = search_batch(keys[i : i + 2000], texts[i : i + 2000], px, min_words, per_edit, base_hits, need)
-                    yield pd.DataFrame([r for r in rows if r[2] >= min_words], columns=["doc_id", "item_id", "run_words"])
+                    yield pd.DataFrame(rows, columns=["doc_id", "item_id", "run_words"])
 
         part = narrow.mapInPandas(run, schema)
         out = part if out is None else out.unionByName(part)

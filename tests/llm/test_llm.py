@@ -239,8 +239,51 @@ def test_leakage_at_the_edge_in_long_texts(spark):
     assert leakage.fewest_hits(30, 8) == 8
 
 
+@pytest.mark.parametrize("n_words", [300, 1_500, 5_000, 20_000, 80_000])
+def test_leakage_recall_by_length(n_words):
+    rnd = random.Random(n_words)
+    vocabulary = [a + b for a in WORDS for b in WORDS]
+    items = [(i, " ".join(rnd.sample(vocabulary, 90))) for i in range(40)]
+    px = leakage.Passages(items)
+    plans = [(30, 0), (30, 3), (32, 3), (32, 4), (40, 4), (40, 5), (90, 11)]
+    keys, texts, want = [], [], set()
+    for i in range(40):
+        n, edits = plans[i % len(plans)]
+        run = items[i][1].split()[:n]
+        places = [(j + 1) * n // (edits + 1) for j in range(edits)]
+        for x in sorted(places, reverse=True):  # changed, dropped and added words
+            run[x : x + 1] = [["changed"], [], [run[x], "added"]][(x + i) % 3] if n > 30 + edits else ["changed"]
+        # filler of the passages' own words, so that chance hits occur too
+        filler = [rnd.choice(vocabulary if rnd.random() < 0.5 else WORDS) for _ in range(n_words)]
+        at = rnd.randrange(n_words)
+        filler[at:at] = run
+        keys.append(i)
+        texts.append(" ".join(filler))
+        want.add((i, i))
+    found = {(d, i) for d, i, n in leakage.search_batch(keys, texts, px, 30, 8, 6, 0.2)}
+    assert found == want
+
+
+def test_banded_alignments_against_plain_ones():
+    rnd = np.random.default_rng(5)
+    band = 4
+    for _ in range(60):
+        n = int(rnd.integers(1, 12))
+        p, d = rnd.integers(0, 4, (1, n)), rnd.integers(0, 4, (1, n + 2 * band))
+        matched, inserted = leakage._aligned(p, d, band)
+        got = (n - matched.sum()) + inserted.sum()
+        # plain: a free stretch of text before and behind, begins and ends inside the band
+        best = [[0 if j <= 2 * band else 99 for j in range(n + 2 * band + 1)]]
+        for i in range(1, n + 1):
+            row = [99] * (n + 2 * band + 1)
+            for j in range(i, i + 2 * band + 1):
+                row[j] = min(best[-1][j - 1] + int(p[0, i - 1] != d[0, j - 1]) if j else 99, best[-1][j] + 1 if j <= i - 1 + 2 * band else 99, row[j - 1] + 1 if j > i else 99)
+            best.append(row)
+        assert got == min(best[-1][n : n + 2 * band + 1])
+
+
 def test_longest_run():
-    one = lambda bad, n=40: leakage.longest_run([int(i not in bad) for i in range(n)], [0] * (n + 1), np.arange(n), 8)
+    one = lambda bad, n=40: leakage.longest_run(np.array([int(i in bad) for i in range(n)]), 8)
     assert one(set()) == 40 and one({20}) == 40 and one(set(range(0, 40, 2))) < 10 and one({12, 13, 14}) == 40
 
 
