@@ -3,12 +3,14 @@
 Typed names are reduced to their distinct spellings and cut into units: words, runs of adjacent words, and codes
 (windows of adjacent pieces with digits, Greek letters or short letter groups).  Each distinct word that is not in the
 reference vocabulary is joined to it by edit distance (adjacent swaps count once): a segment index over the vocabulary
-gives the candidates, the distance decides.  Codes are never repaired: a code with another number is another product.
+gives the candidates, all of which are measured, and the nearest words of the whole vocabulary count, all of them on a
+tie.  Codes are never repaired: a code with another number is another product.
 Corrected units then vote for complete entries with soft TF-IDF, and the best entry must name one program.
 
 Scale: names collapse to distinct spellings before any work, so a name that fills a third of all rows costs one row;
-the way back to the rows is a salted join.  The vocabulary goes to the tasks in groups of at most ``vocab_group``
-tokens, one pass per group; everything else is an equi-join.
+the way back to the rows is a salted join.  Units that are words of the vocabulary are set aside by a join first.  The
+rest meets the vocabulary in a cogroup of token buckets and vocabulary groups, so neither the driver nor a task holds
+more than ``vocab_group`` words; the nearest words are taken over all groups.  Everything else is an equi-join.
 
 Defined results: null and blank names give no row; a name that fits no entry, or entries of several programs, or an
 entry marked ambiguous, gives ``NONE``; repeated reference rows count once; an empty reference list gives ``NONE``.
@@ -18,7 +20,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,7 +35,6 @@ _MARKS = re.compile(r"[®™©℠]|\((?:tm|r|c|sm)\)", re.IGNORECASE)
 _DOSE = re.compile(r"\d+(?:\.\d+)?\s*[x×]\s*10\s*\^?\s*\d+(?:\s*(?:pfu|vp|vg|tcid50|cfu|iu|particles|cells))?|\b\d+(?:\.\d+)?\s*(?:mg|ml|µg|μg|ug|pfu|vp|vg|iu)\b", re.IGNORECASE)
 _PIECE = re.compile(r"[^\W_]+")
 MIN_WORD = 5
-MAX_PIECES = 6
 
 
 def cleaned(name: str) -> str:
@@ -70,12 +70,15 @@ def is_code(unit: str) -> bool:
     return len(unit) < MIN_WORD or not unit.isascii() or not unit.isalpha()
 
 
-def units(name: str) -> list[str]:
-    """Words, runs of words and codes of a typed name, and the whole of it however many pieces it has."""
+def units(name: str, longest: int = 3) -> list[str]:
+    """Words, runs of words and codes of a typed name, and the whole of it however many pieces it has.
+
+    longest: pieces of the longest entry that is one unit; codes may be typed in twice as many.
+    """
     ps = pieces(name)
     found: dict[str, None] = {"".join(p for p, _ in ps): None} if ps else {}
     for i in range(len(ps)):
-        for j in range(i + 1, min(len(ps), i + MAX_PIECES) + 1):
+        for j in range(i + 1, min(len(ps), i + max(6, 2 * longest)) + 1):
             unit = "".join(p for p, _ in ps[i:j])
             if any(c.isdigit() for c in unit):
                 # a number glued on at either side makes it another code
@@ -83,7 +86,7 @@ def units(name: str) -> list[str]:
                 before = i > 0 and ps[i][1] and ps[i - 1][0][-1:].isdigit() and ps[i][0][:1].isdigit()
                 if after or before:
                     continue
-            if j - i <= 3 or is_code(unit):
+            if j - i <= max(3, longest) or is_code(unit):
                 found[unit] = None
     return list(found)
 
@@ -146,50 +149,41 @@ class Vocabulary:
             for s, e in _segments(len(w)):
                 self.index.setdefault((len(w), s, w[s:e]), []).append(w)
 
-    def candidates(self, token: str) -> tuple[set[str], list[list[str]]]:
-        """Words that share a rare segment with the token, and the long lists of common segments."""
-        rare: set[str] = set()
-        common: list[list[str]] = []
-        for length in range(len(token) - 4, len(token) + 5):
-            most = allowance(length)
-            if length not in self.lengths or abs(length - len(token)) > most:
-                continue
-            for s, e in _segments(length):
-                for shift in range(-most, most + 1):
-                    if s + shift >= 0 and (hit := self.index.get((length, s, token[s + shift : e + shift]))):
-                        if len(hit) <= 40:
-                            rare.update(hit)
-                        else:
-                            common.append(hit)
-        return rare, common
-
     def nearest(self, token: str) -> list[tuple[str, int]]:
         """The reference words nearest to a token within the allowance, all of them on a tie."""
         if token in self.words:
             return [(token, 0)]
-        rare, common = self.candidates(token)
-        for group in (rare, {w for hit in common for w in hit}):
-            scored = []
-            mine, own = _letters(token), allowance(len(token))
-            for w in group:
-                most = min(allowance(len(w)), own)
-                # an edit changes which letters occur by two at most
-                if most and (mine ^ self.letters[w]).bit_count() <= 2 * most and (d := edits(token, w, most)) <= most:
-                    scored.append((d, w))
-            if scored:
-                least = min(scored)[0]
-                return [(w, d) for d, w in scored if d == least]
-        return []
-
-
-def map_names(names: DataFrame, row_id: str, typed: str, reference: DataFrame, entry_id: str, entry: str, ambiguous: str, vocab_group: int = 50_000, accept: float = 0.8, salts: int = 8) -> DataFrame:
+        mine, own, seen = _letters(token), allowance(len(token)), set()
+        best, found = own, []
+        for length in range(len(token) - own, len(token) + own + 1):
+            if length not in self.lengths:
+                continue
+            most = min(allowance(length), own)
+            if not most or abs(length - len(token)) > most:
+                continue
+            for s, e in _segments(length):
+                for shift in range(-allowance(length), allowance(length) + 1):
+                    for w in self.index.get((length, s, token[s + shift : e + shift]), ()) if s + shift >= 0 else ():
+                        if w in seen:
+                            continue
+                        seen.add(w)
+                        # an edit changes which letters occur by two at most
+                        least = min(most, best)
+                        if (mine ^ self.letters[w]).bit_count() <= 2 * least and (d := edits(token, w, least)) <= least:
+                            if d < best:
+                                best, found = d, []
+                            found.append((w, d))
+        return [(w, d) for w, d in found if d == best]
+
+
+def map_names(names: DataFrame, row_id: str, typed: str, reference: DataFrame, entry_id: str, entry: str, ambiguous: str, vocab_group: int = 50_000, token_bucket: int = 200_000, accept: float = 0.8, salts: int = 8) -> DataFrame:
     """row_id and the entry's id (or NONE) of each name that is not blank; score of the match."""
     rows = names.selectExpr(f"`{row_id}` as row_id", f"`{typed}` as typed").where(F.col("typed").rlike(r"(?U)[^\s​﻿]"))
     spell = rows.select("typed").distinct()
 
-    @F.pandas_udf("array<string>")
-    def unit_list(s: pd.Series) -> pd.Series:
-        return s.map(units)
+    @F.pandas_udf("int")
+    def size_of(s: pd.Series) -> pd.Series:
+        return s.map(lambda name: len(pieces(name)))
 
     @F.pandas_udf("string")
     def key_of(s: pd.Series) -> pd.Series:
@@ -206,7 +200,13 @@ def map_names(names: DataFrame, row_id: str, typed: str, reference: DataFrame, e
 
     ref = reference.selectExpr(f"`{entry_id}` as entry_id", f"`{entry}` as entry", f"coalesce(`{ambiguous}`, 0) as amb").where("entry_id is not null and entry is not null").distinct()
     # the reference and the units are read several times below
-    keyed = cut(ref.select("entry_id", "amb", key_of("entry").alias("key"), words_of("entry").alias("words")).where("key <> ''"))
+    keyed = cut(ref.select("entry_id", "amb", key_of("entry").alias("key"), words_of("entry").alias("words"), size_of("entry").alias("n")).where("key <> ''"))
+    longest = keyed.agg(F.max(F.when(F.size("words") == 1, F.col("n")))).head()[0] or 1
+
+    @F.pandas_udf("array<string>")
+    def unit_list(s: pd.Series) -> pd.Series:
+        return s.map(lambda name: units(name, longest))
+
     # complete entries: by key, which programs it may mean; as one unit, and as its words where it has several
     entries = keyed.groupBy("key").agg(F.min("entry_id").alias("entry_id"), F.countDistinct("entry_id").alias("n_ids"), F.max("amb").alias("amb"), F.first("words").alias("words"))
     forms = entries.select("key", F.array("key").alias("toks")).unionByName(entries.where("size(words) > 1").select("key", F.col("words").alias("toks")))
@@ -216,23 +216,34 @@ def map_names(names: DataFrame, row_id: str, typed: str, reference: DataFrame, e
     weighted = form_tokens.join(df, "tok").withColumn("w", F.log1p(F.lit(float(max(1, n_entries))) / F.col("df")))
     totals = weighted.groupBy("key", "form").agg(F.sum("w").alias("total"))
 
-    unit_rows = cut(spell.select("typed", F.explode(unit_list("typed")).alias("unit")))
     # an explicit number of partitions: the work per row is large, so small tables must be spread too
-    tokens = cut(unit_rows.select("unit").distinct().repartition(shuffle_partitions(names.sparkSession)))
-    vocab = [r.tok for r in form_tokens.select("tok").distinct().toLocalIterator()]
-    exact = tokens.join(form_tokens.select(F.col("tok").alias("unit")).distinct(), "unit", "left_semi").select("unit", F.col("unit").alias("tok"), F.lit(1.0).alias("sim"))
-    matches = exact
-    words = sorted(v for v in vocab if not is_code(v))
-    for i in range(0, len(words), vocab_group):
-
-        def repair(batches: Iterator[pd.DataFrame], group: list[str] = words[i : i + vocab_group]) -> Iterator[pd.DataFrame]:
-            index = Vocabulary(group)
-            for b in batches:
-                out = [(u, w, 1 - d / max(len(u), len(w))) for u in b["unit"] if not is_code(u) and u not in index.words for w, d in index.nearest(u)]
-                yield pd.DataFrame(out, columns=["unit", "tok", "sim"])
-
-        matches = matches.unionByName(tokens.mapInPandas(repair, "unit string, tok string, sim double"))
-    best_sim = unit_rows.join(cut(matches), "unit").groupBy("typed", "tok").agg(F.max("sim").alias("sim"))
+    spread = shuffle_partitions(names.sparkSession)
+    unit_rows = cut(spell.repartition(spread).select("typed", F.explode(unit_list("typed")).alias("unit")))
+    vocab = cut(form_tokens.select("tok").distinct())
+    tokens = unit_rows.select("unit").distinct()
+    exact = tokens.join(vocab, tokens.unit == vocab.tok, "left_semi").select("unit", F.col("unit").alias("tok"), F.lit(1.0).alias("sim"))
+    is_word = F.col("w").rlike("^[a-z]+$") & (F.length("w") >= MIN_WORD)
+    known = cut(vocab.select(F.col("tok").alias("w")).where(is_word))
+    unknown = cut(tokens.select(F.col("unit").alias("w")).where(is_word).join(known, "w", "left_anti"))
+    groups, buckets = max(1, -(-known.count() // vocab_group)), max(3 * spread, -(-unknown.count() // token_bucket))
+    number = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    in_group = lambda n: F.pmod(F.xxhash64("w"), F.lit(n)).cast("int")
+    bucketed = unknown.select("w", F.explode(number(groups)).alias("g"), in_group(buckets).alias("b"))
+    grouped = known.select("w", in_group(groups).alias("g"), F.explode(number(buckets)).alias("b"))
+    # partitions of a stated number are not put together again, so that small tables stay spread
+    parts = max(spread, groups * buckets // 3)
+    sides = [df.repartition(parts, "g", "b").groupBy("g", "b") for df in (bucketed, grouped)]
+
+    def repair(_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        index = Vocabulary(right["w"].tolist())
+        return pd.DataFrame([(u, w, d) for u in left["w"] for w, d in index.nearest(u)], columns=["unit", "tok", "d"])
+
+    repaired = cut(sides[0].cogroup(sides[1]).applyInPandas(repair, "unit string, tok string, d int"))
+    # the nearest over all groups of the vocabulary
+    least = repaired.groupBy("unit").agg(F.min("d").alias("least"))
+    sim = 1 - F.col("d") / F.greatest(F.length("unit"), F.length("tok"))
+    matches = exact.unionByName(repaired.join(least, "unit").where("d = least").select("unit", "tok", sim.alias("sim")))
+    best_sim = unit_rows.join(matches, "unit").groupBy("typed", "tok").agg(F.max("sim").alias("sim"))
     votes = best_sim.join(weighted, "tok").groupBy("typed", "key", "form").agg(F.sum(F.col("w") * F.col("sim")).alias("got"), F.count("*").alias("n"))
     scored = votes.join(totals, ["key", "form"]).where(F.col("n") == F.col("form")).withColumn("score", F.round(F.col("got") / F.col("total"), 6)).where(F.col("score") >= accept)
     # the best entry: highest score, then the longest name; several programs at the top fit none

@@ -119,6 +119,39 @@ def test_nearest_word_against_brute_force():
     assert missed == 0
 
 
+def test_nearest_word_among_many_that_share_segments():
+    rnd = random.Random(3)
+    parts = ["vec", "gen", "tur", "mab", "lis", "ono", "pex", "fer"]
+    words = sorted({"".join(rnd.choice(parts) for _ in range(rnd.randrange(2, 6))) + rnd.choice("abcdefgh") for _ in range(20_000)})
+    index = canonical.Vocabulary(words)
+    for _ in range(40):
+        t = list(rnd.choice(words))
+        for _ in range(rnd.choice([1, 2])):
+            i = rnd.randrange(len(t))
+            t[i] = rnd.choice("abcxyz")
+        t = "".join(t)
+        own = canonical.allowance(len(t))
+        near = [(w, d) for w in words if abs(len(w) - len(t)) <= own and (d := canonical.edits(t, w, own)) <= min(own, canonical.allowance(len(w)))]
+        least = min((d for _, d in near), default=None)
+        assert sorted(index.nearest(t)) == sorted((w, d) for w, d in near if d == least)
+
+
+def test_nearest_words_do_not_depend_on_groups(spark):
+    rnd = random.Random(5)
+    names = sorted({"".join(rnd.choice(["vec", "gen", "tur", "mab", "lis", "ono", "pex", "fer"]) for _ in range(rnd.randrange(3, 5))) for _ in range(300)})
+    ref = spark.createDataFrame([(f"P{i}", n, 0) for i, n in enumerate(names)], "e string, n string, a int")
+    typed = [*names[::5], *(n[:4] + "x" + n[5:] for n in names[::3]), *(n[:-1] for n in names[::4])]
+    df = spark.createDataFrame(list(enumerate(typed)), "i long, t string")
+    rows = [{(r.row_id, r.entry_id, r.score) for r in canonical.map_names(df, "i", "t", ref, "e", "n", "a", vocab_group=g, token_bucket=b).collect()} for g, b in ((50_000, 200_000), (50, 40))]
+    assert rows[0] == rows[1]
+    best = {t: min(canonical.edits(t, n, 9) for n in names) for t in typed}
+    index = canonical.Vocabulary(names)
+    for i, entry, _ in rows[0]:
+        near = index.nearest(typed[i])
+        if len(near) == 1 and near[0][1] == best[typed[i]] and near[0][1] <= 2:
+            assert entry == f"P{names.index(near[0][0])}"
+
+
 def test_titles():
     n = lambda t: titles.normal(t)
     like = lambda a, b: titles.compare(n(a)[0], n(b)[0], n(a)[1], n(b)[1])
