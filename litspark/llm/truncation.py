@@ -2,32 +2,37 @@
 
 A text is cut where it ends within a word or a sentence.  Three kinds of evidence, each taken over all texts:
 
-* a longer copy: values are hashed by a fixed-length prefix; values that share it are sorted, and a value is a strict
-  prefix of a longer one exactly if its successor in the order starts with it (``longer_copies``); the prefix is 64
-  characters without blanks, so a shorter text, or a copy with other markup or entities in them, meets no longer copy;
+* a longer copy (``longer_copies``): every text is hashed at the fixed prefix lengths of ``LADDER`` (characters without
+  blanks, markup, case and entities); an open text meets the others by the longest of them that it fills.  Values that
+  meet another one are sorted, with the ends of sentences behind all other characters, so a value is a strict prefix of
+  a longer one that goes on within the sentence exactly if its successor in the order is one;
 * the last words: how often the same last words go on, and how often they end a sentence, elsewhere in the corpus; a
-  last word that is no word of the corpus is a stump (``continuations``);
+  last word that is no word of the corpus is a stump (``whole_pass``);
 * the length: texts of one source that lack an end pile up at the source's field limit (``piles``).
 
 Open structures at the end (a tag, an entity, a bracket) and signs such as ``[...]`` are read from the text itself.
 
-Scale: the first pass looks at the ends of texts only.  The pass over whole texts counts the
-wanted word groups only, by a bitmap of ``bits`` bits (a fixed size; when it is full every group is counted, which is
-slower but not wrong), and adds up within each batch before the shuffle.  No group of copies is gathered: equal texts
-collapse to one, and the sort is by range.
+Scale: the texts are read twice.  The first pass reduces each to its end, its hashes and its length; the second, over
+whole texts, counts the wanted word groups and hands out the texts that may have a longer copy, both chosen by Bloom
+filters whose size follows the number of wanted keys (16 bits a key, 128 MB at most; more keys than that take several
+passes).  False hits of a filter only cost time: keys are compared exactly afterwards.  Counts are added up within each
+batch before the shuffle.  No group of copies is gathered: equal texts collapse to one, and the sort is by range.
 
 Defined results: null and empty texts are never cut; a text that ends in a complete sentence, a heading, list item,
-label line or just without its full stop is not cut; copies of a cut text are cut, whoever delivers them.
+label line or just without its full stop is not cut; copies of a cut text (equal but for case, blanks and markup) are
+cut, whoever delivers them; a text shorter than the first step of the ladder has no longer copy.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +40,10 @@ from litspark.llm.textnorm import tidy
 from litspark.session import cut, shuffle_partitions
 
 TAIL = 400
-BLANKS = " \t\n\r     ​‌‍﻿­"
+LADDER = (16, 64, 256, 1024)
+_ZERO_WIDTH = dict.fromkeys(map(ord, "\u200b\u200c\u200d\u2060\ufeff\u00ad"))
+# ends of sentences, and the characters behind all others that stand for them in the order
+_ENDS, _LATE = ".!?", "\U0010fffb\U0010fffc\U0010fffd"
 # Signs by which senders mark a cut.
 _SURE = re.compile(r"\s*(?:\[\s*(?:\.\.\.|…)\s*\]|\(\s*(?:\.\.\.|…)\s*\)|…|&hellip;?|[\[(](?:truncated|read more|more|continued|cut)[\])]|(?:\.\.\.|…)\s*(?:more|read more|continued)|<truncated>)\s*$", re.IGNORECASE)
 _DOTS = re.compile(r"\s*\.\.+\s*$")
@@ -78,16 +86,90 @@ def _ids(text: str, memo: dict[str, int]) -> list[int]:
     return out
 
 
-def group_keys(kept: np.ndarray, k: int) -> np.ndarray:
-    """Keys of the k tokens that end at each place (0 where there are fewer)."""
+def group_keys(kept: np.ndarray) -> dict[int, np.ndarray]:
+    """For each size of ``SIZES`` the keys of the tokens that end at each place."""
     x = kept.astype(np.uint64)
-    h = np.full(len(x), np.uint64(0x51ED270B + k), dtype=np.uint64)
-    for i in range(k):
+    h, out = np.full(len(x), np.uint64(0x51ED270B)), {}
+    for i in range(SIZES[-1]):
         part = np.zeros(len(x), dtype=np.uint64)
         part[i:] = x[: max(0, len(x) - i)]
         h = (h ^ part) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(31)
-    return h.view(np.int64)
+        if i + 1 in SIZES:
+            out[i + 1] = h.view(np.int64)
+    return out
+
+
+class Filter:
+    """A Bloom filter in slices of 64 KB; a key lies in one slice."""
+
+    BITS = 19
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words = words
+
+    @staticmethod
+    def places(key: np.ndarray) -> list[np.ndarray]:
+        """Where in its slice a key sets its four bits."""
+        m = key.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        m ^= m >> np.uint64(32)
+        mask = np.uint64((1 << Filter.BITS) - 1)
+        a, b = m & mask, m >> np.uint64(Filter.BITS) & mask | np.uint64(1)
+        return [((a + np.uint64(j) * b) & mask).astype(np.int64) for j in range(4)]
+
+    @staticmethod
+    def of(keys: DataFrame, slices: int) -> Filter:
+        """The filter of a column ``key`` (long); slices is a power of two."""
+
+        def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+            bits = np.zeros(1 << Filter.BITS, dtype=bool)
+            for at in Filter.places(pdf["key"].to_numpy()):
+                bits[at] = True
+            return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "b": [np.packbits(bits, bitorder="little").tobytes()]})
+
+        out = np.zeros(slices << (Filter.BITS - 3), dtype=np.uint8)
+        rows = keys.select("key", F.pmod("key", F.lit(slices)).cast("int").alias("slice")).groupBy("slice").applyInPandas(fill, "slice int, b binary")
+        for r in rows.toLocalIterator():
+            out[r.slice << (Filter.BITS - 3) : (r.slice + 1) << (Filter.BITS - 3)] = np.frombuffer(r.b, dtype=np.uint8)
+        return Filter(out)
+
+    def hits(self, key: np.ndarray) -> np.ndarray:
+        """Indices of the keys that may be in the filter."""
+        slices = len(self.words) >> (self.BITS - 3)
+        left = np.arange(len(key))
+        base = (key & (slices - 1)) << (self.BITS - 3)
+        for at in self.places(key):
+            at = at[left]
+            left = left[(self.words[base[left] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1]
+        return left
+
+
+def _slices(n: int, per_key: int = 16, most: int = 1 << 11) -> int:
+    """Slices of a filter of n keys, a power of two."""
+    return min(most, 1 << max(0, (max(1, n) * per_key - 1).bit_length() - Filter.BITS))
+
+
+def bare(text: str) -> tuple[str, str]:
+    """(squeezed text, the same without the sign of a cut and what is open at its end): no blanks, markup and entities, lower case."""
+    squeezed = "".join(tidy(text).split()).lower().translate(_ZERO_WIDTH)
+    t = text.rstrip()
+    end = t[-TAIL:]
+    m = _SURE.search(end) or _DOTS.search(end) if end[-1:] in ".…>])eED;" or "hellip" in end[-9:] else None
+    kept = end[: m.start()] if m else end
+    if not _TERMINAL.search(kept) and (o := _OPEN_TAG.search(kept) or _OPEN_ENTITY.search(kept)):
+        kept = kept[: o.start()]
+    if len(kept) == len(end):
+        return squeezed, squeezed
+    return squeezed, "".join(tidy(t[: len(t) - len(end)] + kept).split()).lower().translate(_ZERO_WIDTH)
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def ladder(squeezed: str) -> list[int]:
+    """Hashes of the prefixes of each length of ``LADDER`` that the text fills."""
+    return [_hash(f"{n} {squeezed[:n]}") for n in LADDER if len(squeezed) >= n]
 
 
 def tail_of(text: str) -> tuple[bool, int, int, list[int]] | None:
@@ -123,7 +205,8 @@ def tail_of(text: str) -> tuple[bool, int, int, list[int]] | None:
         ids = ids[:-1]
     if len(ids) < 2:
         return sure, sign, trailer, []
-    keys = [int(group_keys(ids, k)[-1]) for k in SIZES] + [int(group_keys(ids, 2)[-2])]
+    groups = group_keys(ids)
+    keys = [int(groups[k][-1]) if len(ids) >= k else 0 for k in SIZES] + [int(groups[2][-2]) if len(ids) > 2 else 0]
     # numbers, symbols and names are never stumps
     word = re.findall(r"\w+", tidied)[-1:]
     if ids[-1] < 16:
@@ -133,64 +216,87 @@ def tail_of(text: str) -> tuple[bool, int, int, list[int]] | None:
     return sure, sign, trailer, keys
 
 
-def ends_of(docs: DataFrame, prefix: int = 64) -> DataFrame:
-    """doc_id, source, len, p, h of every text, and sure, sign, trailer, keys of those that lack an end (else null).
+def ends_of(docs: DataFrame) -> DataFrame:
+    """doc_id, source, len, h, ladder of every text, and sure, sign, trailer, keys of those that lack an end (else null).
 
-    p hashes the first ``prefix`` characters, h the beginning and the end, both without blanks: copies agree in both.
+    h hashes the whole squeezed text, ladder its prefixes without the sign of a cut.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [tail_of(t) or (None, None, None, None) for t in b["tail"]]
-            out = b.drop(columns="tail")
+            texts = b["text"].tolist()
+            out = b[["doc_id", "source"]].copy()
+            both = [bare(t) for t in texts]
+            out["len"] = [len(t) for t in texts]
+            out["h"] = [_hash(s) for s, _ in both]
+            out["ladder"] = [ladder(s) for _, s in both]
+            found = [tail_of(t[-TAIL:]) or (None, None, None, None) for t in texts]
             for i, name in enumerate(("sure", "sign", "trailer", "keys")):
                 out[name] = pd.Series([f[i] for f in found], dtype=object, index=out.index)
             yield out
 
-    head = F.substring(F.lower(F.translate(F.substring("text", 1, 5 * prefix), BLANKS, "")), 1, prefix)
-    tail = F.substring("text", -TAIL, TAIL)
-    narrow = docs.select("doc_id", F.lower(F.trim("source")).alias("source"), F.length("text").alias("len"), F.xxhash64(head).alias("p"), F.xxhash64(head, F.translate(tail, BLANKS, "")).alias("h"), tail.alias("tail"))
-    return narrow.mapInPandas(run, "doc_id long, source string, len int, p long, h long, sure boolean, sign int, trailer int, keys array<long>")
+    narrow = docs.select("doc_id", F.lower(F.trim("source")).alias("source"), "text")
+    return narrow.mapInPandas(run, "doc_id long, source string, len int, h long, ladder array<long>, sure boolean, sign int, trailer int, keys array<long>")
 
 
-def continuations(docs: DataFrame, wanted: DataFrame, bits: int = 22) -> DataFrame:
-    """key, go_on, stop: how often each wanted word group goes on within a sentence, and ends one, in all texts.
+def whole_pass(docs: DataFrame, wanted: DataFrame, live: DataFrame, per_key: int = 16, most: int = 1 << 11) -> DataFrame:
+    """One pass over the whole texts: how word groups go on, and texts that share a prefix with an open one.
 
-    The last words of a text count neither way.
+    Rows with a key: n, how often the word group occurs, and stop, how often it ends a sentence (the last words of a text
+    count neither way).  Rows with an h: squeezed, the text in the order of ``longer_copies``.
+    wanted: key, of the word groups; live: key, of the prefixes.
     """
-    mask = (1 << bits) - 1
-    words = wanted.groupBy(F.expr(f"shiftright(key & {mask}L, 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(key & 63 as int)))").alias("b")).collect()
-    bitmap = np.zeros(max(1, (1 << bits) >> 6), dtype=np.int64)
-    for r in words:
-        bitmap[r.w] = r.b
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[str, int] = {}
-        for b in batches:
-            texts = b["text"].tolist()
-            for i in range(0, len(texts), 2000):
-                flat: list[int] = []
-                for t in texts[i : i + 2000]:
-                    flat += _ids(tidy(t).rstrip(), memo)
-                    flat.append(0)
-                full = np.array(flat, dtype=np.int64)
-                following = np.append(full[1:], 0)
-                keep = full != MID
-                kept, nxt = full[keep], following[keep]
-                counts = (kept > MID) & (nxt != 0)
-                stop = nxt == END
-                found = []
-                for k in SIZES:
-                    key = group_keys(kept, k)
-                    s = key & mask
-                    hit = counts & ((bitmap[s >> 6] >> (s & 63)) & 1 == 1)
-                    uniq, inv = np.unique(key[hit], return_inverse=True)
-                    ends = np.bincount(inv, weights=stop[hit], minlength=len(uniq)).astype(np.int64)
-                    found.append(pd.DataFrame({"key": uniq, "n": np.bincount(inv, minlength=len(uniq)).astype(np.int64), "stop": ends}))
-                yield pd.concat(found)
-
-    seen = docs.select("text").mapInPandas(run, "key long, n long, stop long")
-    return seen.groupBy("key").agg((F.sum("n") - F.sum("stop")).alias("go_on"), F.sum("stop").alias("stop"))
+    spark = docs.sparkSession
+    n_wanted, n_live = wanted.count(), live.count()
+    capacity = (most << Filter.BITS) // per_key  # keys of one pass
+    parts = []
+    for turn in range(passes := max(1, -(-max(n_wanted, n_live) // capacity))):
+        share = lambda df, turn=turn: df.where(F.pmod(F.xxhash64("key"), F.lit(passes)) == turn) if passes > 1 else df
+        filters = spark.sparkContext.broadcast([Filter.of(share(df), _slices(-(-n // passes), per_key, most)).words for df, n in ((wanted, n_wanted), (live, n_live))])
+
+        def run(batches: Iterator[pd.DataFrame], filters=filters) -> Iterator[pd.DataFrame]:
+            memo: dict[str, int] = {}
+            groups, prefixes = (Filter(w) for w in filters.value)
+            for b in batches:
+                texts = b["text"].tolist()
+                for i in range(0, len(texts), 2000):
+                    flat: list[int] = []
+                    for t in texts[i : i + 2000]:
+                        flat += _ids(tidy(t).rstrip(), memo)
+                        flat.append(0)
+                    full = np.array(flat, dtype=np.int64)
+                    following = np.append(full[1:], 0)
+                    keep = full != MID
+                    kept, nxt = full[keep], following[keep]
+                    place = np.arange(len(kept))
+                    since = place - np.maximum.accumulate(np.where(kept == 0, place, -1))  # 1 for the first word of a text
+                    counts = np.flatnonzero((kept > MID) & (nxt != 0))
+                    stop = (nxt == END)[counts]
+                    found = []
+                    for k, key in group_keys(kept).items():
+                        key = key[counts]
+                        hit = groups.hits(key)
+                        hit = hit[since[counts[hit]] >= k]
+                        uniq, inv = np.unique(key[hit], return_inverse=True)
+                        ends = np.bincount(inv, weights=stop[hit], minlength=len(uniq)).astype(np.int64)
+                        found.append(pd.DataFrame({"key": uniq, "n": np.bincount(inv, minlength=len(uniq)).astype(np.int64), "stop": ends}))
+                    yield pd.concat(found).astype({"key": "Int64", "n": "Int64", "stop": "Int64"}).assign(h=pd.NA, squeezed=None)
+                if n_live:
+                    both = [bare(t) for t in texts]
+                    steps = [ladder(s) for _, s in both]
+                    owner = np.repeat(np.arange(len(steps)), [len(x) for x in steps])
+                    of = sorted(set(owner[prefixes.hits(np.array([x for y in steps for x in y], dtype=np.int64))].tolist()))
+                    rows = {both[x]: None for x in of}  # copies within the batch are one
+                    yield pd.DataFrame({"key": pd.NA, "n": pd.NA, "stop": pd.NA, "h": [_hash(s) for s, _ in rows], "squeezed": [s for _, s in rows]})
+
+        parts.append(docs.select("text").mapInPandas(run, "key long, n long, stop long, h long, squeezed string"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def live_prefixes(ends: DataFrame) -> DataFrame:
+    """key of the prefixes that are the longest of an open text and stand at the beginning of another one too."""
+    steps = ends.select("h", F.posexplode("ladder").alias("at", "key"), (F.col("keys").isNotNull() & (F.col("at") == F.size("ladder") - 1)).alias("own"))
+    return steps.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("own").alias("own")).where("own and lo <> hi").select("key")
 
 
 def piles(ends: DataFrame) -> DataFrame:
@@ -203,47 +309,39 @@ def piles(ends: DataFrame) -> DataFrame:
     return both.select("source", "len", F.when(exact, 2).when(around, 1).otherwise(0).alias("at"))
 
 
-def longer_copies(docs: DataFrame, ends: DataFrame, small: int = 100_000) -> DataFrame:
-    """h of open texts that are strict prefixes of a longer text which goes on within the sentence.
-
-    Only texts that share the hash of their first characters with an open text, but not all of it, are read again.
-    """
-    hashed = ends.select("p", "h", "doc_id", "keys")
-    several = hashed.groupBy("p").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("keys").alias("n_open")).where("lo <> hi and n_open > 0").select("p")
-    wanted = cut(hashed.join(several, "p", "left_semi").groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.min("p").alias("p")))
-    if wanted.count() <= small:  # a size that was looked at; beyond it the join is by shuffle
-        wanted = F.broadcast(wanted)
-    squeezed = F.lower(F.translate("text", BLANKS, ""))
-    sign = F.regexp_replace(F.substring(squeezed, -16, 16), r"(?:\[?(?:\.\.\.|…)\]?|&hellip;|[\[(](?:truncated|readmore)[\])]|\.\.\.more)$", "")
-    bare = F.when(F.length(squeezed) > 16, F.concat(F.substring(squeezed, 1, F.length(squeezed) - 16), sign)).otherwise(squeezed)
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id").select("h", "p", bare.alias("s"))
-    ordered = texts.repartitionByRange(shuffle_partitions(docs.sparkSession), "p", "s").sortWithinPartitions("p", "s", "h")
+def longer_copies(texts: DataFrame) -> DataFrame:
+    """h of texts that are strict prefixes of a longer one which goes on within the sentence.  texts: h, squeezed."""
+    once = texts.select("h", F.translate("squeezed", _ENDS, _LATE).alias("s")).distinct()
+    ordered = once.repartitionByRange(shuffle_partitions(texts.sparkSession), "s").sortWithinPartitions("s", "h")
 
     def goes_on(a: str, b: str) -> bool:
-        return len(b) > len(a) and b.startswith(a) and b[len(a)] not in ".!?"
+        return len(b) > len(a) and b.startswith(a) and b[len(a)] not in _LATE
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[int] = []
-        last: str | None = None
+        first = last = None
         for b in batches:
-            for h, s in zip(b["h"], b["s"], strict=True):
-                if last is None:
-                    yield pd.DataFrame({"h": [h], "s": [s], "kind": ["first"]})
-                elif s != last:
-                    if goes_on(last, s):
-                        yield pd.DataFrame({"h": held, "s": None, "kind": "found"})
+            found: list[int] = []
+            for h, s in zip(b["h"].tolist(), b["s"].tolist(), strict=True):
+                if s != last:
+                    if last is None:
+                        first = s
+                    elif goes_on(last, s):
+                        found += held
                     held = []
                 held.append(h)
                 last = s
+            yield pd.DataFrame({"h": found, "part": None, "first": None, "last": None})
         if last is not None:
-            yield pd.DataFrame({"h": held, "s": last, "kind": "last"})
+            part = TaskContext.get().partitionId()
+            yield pd.DataFrame({"h": held, "part": part, "first": first, "last": last})
 
-    seen = ordered.mapInPandas(run, "h long, s string, kind string")
-    # the last value of each range is compared with the first one of the next range
-    edges = seen.where("kind <> 'found'").distinct()
-    following = F.first(F.when(F.col("kind") == "first", F.col("s")), ignorenulls=True).over(Window.orderBy("s").rowsBetween(1, Window.unboundedFollowing))
-    over = edges.withColumn("nx", following).where("kind = 'last' and nx <> s and startswith(nx, s) and substring(nx, length(s) + 1, 1) not in ('.', '!', '?')")
-    return seen.where("kind = 'found'").select("h").unionAll(over.select("h")).distinct()
+    seen = cut(ordered.mapInPandas(run, "h long, part int, first string, last string"))
+    # the last value of a range (one row for each text that has it) is compared with the first one of the next range
+    edges = seen.where("part is not null")
+    ranges = edges.select("part", "first").distinct().withColumn("nx", F.lead("first").over(Window.orderBy("part")))
+    following = edges.join(ranges.select("part", "nx"), "part").where(F.startswith("nx", "last") & ~F.expr("substring(nx, length(last) + 1, 1)").isin(*_LATE, ""))
+    return seen.where("part is null").select("h").unionAll(following.select("h")).distinct()
 
 
 def truncated(documents: DataFrame, key: str, text: str, source: str) -> DataFrame:
@@ -251,8 +349,10 @@ def truncated(documents: DataFrame, key: str, text: str, source: str) -> DataFra
     docs = documents.selectExpr(f"`{key}` as doc_id", f"`{text}` as text", f"coalesce(`{source}`, '') as source").where("text is not null and doc_id is not null")
     all_ends = cut(ends_of(docs))
     ends = all_ends.where("keys is not null")
-    wanted = ends.select(F.explode("keys").alias("key")).where("key <> 0")
-    stats = continuations(docs, wanted)
+    wanted = cut(ends.select(F.explode("keys").alias("key")).where("key <> 0").distinct())
+    seen = cut(whole_pass(docs, wanted, cut(live_prefixes(all_ends))))
+    counted = seen.where("key is not null").groupBy("key").agg(F.sum("n").alias("n"), F.sum("stop").alias("stop"))
+    stats = counted.select("key", (F.col("n") - F.col("stop")).alias("go_on"), "stop")
     one = ends.select("doc_id", F.posexplode("keys").alias("k", "key")).where("key <> 0")
     go_on, stop = F.coalesce("go_on", F.lit(0)), F.coalesce("stop", F.lit(0))
     named = [*(f"g{k}" for k in SIZES), "before"]
@@ -263,7 +363,7 @@ def truncated(documents: DataFrame, key: str, text: str, source: str) -> DataFra
         return F.when(g.go_on + g.stop >= least, g.stop / (g.go_on + g.stop))
 
     ends_here = F.coalesce(share(6, 3), share(4, 3), share(3, 3))
-    copies = longer_copies(docs, all_ends).withColumn("copied", F.lit(True))
+    copies = longer_copies(seen.where("h is not null")).withColumn("copied", F.lit(True))
     full = ends.join(known, "doc_id", "left").join(piles(all_ends), ["source", "len"], "left").join(copies, "h", "left")
     at, body = F.coalesce("at", F.lit(0)), F.col("trailer") == 0
     goes_on = F.coalesce(ends_here < 0.5, F.lit(False)) | (ends_here.isNull() & F.coalesce(share(2, 10) < 0.05, F.lit(False)))

@@ -363,3 +363,71 @@ def test_truncation(spark):
     found = {r.doc_id: r.why for r in truncation.truncated(df, "k", "t", "s").collect()}
     assert set(found) == want and found[3001] == "longer copy"
     assert truncation.truncated(df.limit(0), "k", "t", "s").count() == 0
+
+
+def _longer(spark, texts, partitions):
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        df = spark.createDataFrame([(truncation._hash(t), truncation.bare(t)[1]) for t in texts], "h long, squeezed string")
+        found = {r.h for r in truncation.longer_copies(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    return {t for t in texts if truncation._hash(t) in found}
+
+
+@pytest.mark.parametrize("partitions", [1, 2, 8, 32, 64])
+def test_longer_copies_at_any_partition_count(spark, partitions):
+    rnd = random.Random(9)
+    full = [" ".join(rnd.choice(WORDS) for _ in range(30)) + "." for _ in range(12)]
+    cut_short = [t[: rnd.randrange(20, 150)].rstrip() for t in full]
+    # a sentence that is complete in one copy goes on in another one
+    both = ["the end of it", "the end of it. Then more", "the end of its kind", "no longer one", "no longer one. More"]
+    texts = full + cut_short + both + [cut_short[0].upper(), cut_short[1] + " [...]"]
+    want = {t for t in texts for u in texts if len(truncation.bare(u)[1]) > len(b := truncation.bare(t)[1]) and truncation.bare(u)[1].startswith(b) and truncation.bare(u)[1][len(b)] not in ".!?"}
+    assert _longer(spark, texts, partitions) == want and set(cut_short) | {"the end of it"} <= want and "no longer one" not in want
+
+
+@pytest.mark.parametrize("per_key", [16, 0])
+def test_short_cut_texts_meet_their_longer_copies(spark, per_key):
+    rnd = random.Random(10)
+    # sentences whose ends are not open, so that only the longer copy tells; the ends of the short ones go on nowhere else
+    docs, want = [], set()
+    for i in range(60):
+        t = " ".join([f"Item{i}x", *(rnd.choice(WORDS) for _ in range(20))])
+        n = 20 + 2 * (i % 20)
+        docs += [(2 * i, t + " <i>etc</i> here.", "s"), (2 * i + 1, t[:n].replace(" ", "  ", 1).rstrip(), "r")]
+        want.add(2 * i + 1)
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    ends = truncation.ends_of(df).cache()
+    live = truncation.live_prefixes(ends)
+    wanted = ends.select(F.explode("keys").alias("key")).where("key <> 0").distinct()
+    # with no bits at all for a key the filters let everything through: slower, but not wrong
+    seen = truncation.whole_pass(df, wanted, live, per_key) if per_key else truncation.whole_pass(df, wanted, live, 1, 1)
+    found = truncation.longer_copies(seen.where("h is not null"))
+    got = {r.doc_id for r in ends.where("keys is not null").join(found, "h", "left_semi").collect()}
+    assert got == want
+    counts = {r["key"]: (r.n, r.stop) for r in seen.where("key is not null").groupBy("key").agg(F.sum("n").alias("n"), F.sum("stop").alias("stop")).join(wanted, "key").collect()}
+    plain: dict = {}
+    for _, t, _ in docs:
+        ids = truncation._ids(truncation.tidy(t).rstrip(), {}) + [0]
+        kept = np.array([x for x in ids if x != truncation.MID], dtype=np.int64)
+        nxt = [ids[k + 1] if k + 1 < len(ids) else 0 for k, x in enumerate(ids) if x != truncation.MID]
+        for size, keys in truncation.group_keys(kept).items():
+            for k, (x, y) in enumerate(zip(kept, nxt, strict=True)):
+                if x > truncation.MID and y and k + 1 >= size:
+                    a, b = plain.get(int(keys[k]), (0, 0))
+                    plain[int(keys[k])] = (a + 1, b + (y == truncation.END))
+    keys = {r["key"] for r in wanted.collect()}
+    assert counts == {k: v for k, v in plain.items() if k in keys}
+
+
+def test_several_passes_count_the_same(spark):
+    df = spark.createDataFrame([(i, f"{WORDS[i % 7]} {WORDS[i % 5]} goes on with {WORDS[i % 6]} {WORDS[i % 7]} {WORDS[i % 5]} {WORDS[i % 4]}", "s") for i in range(200)], "doc_id long, text string, source string")
+    ends = truncation.ends_of(df)
+    wanted, none = ends.select(F.explode("keys").alias("key")).where("key <> 0").distinct(), ends.select(F.lit(1).cast("long").alias("key")).limit(0)
+    rows = []
+    for most in (1 << 11, 1):  # one slice of 2^19 bits at 2^13 bits a key: 64 keys a pass
+        seen = truncation.whole_pass(df, wanted, none, 16 if most > 1 else 1 << 13, most)
+        rows.append({(r["key"], r.n, r.stop) for r in seen.groupBy("key").agg(F.sum("n").alias("n"), F.sum("stop").alias("stop")).join(wanted, "key").collect()})
+    assert rows[0] == rows[1] and len(rows[0]) > 5
