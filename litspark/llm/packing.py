@@ -1,7 +1,8 @@
 """Filling containers of fixed capacity with documents (sum-of-squares online packing).
 
-Token counts are taken with a public tokenizer in Arrow batches (the texts are never shuffled).  The narrow rows
-(document, tokens) are then hashed into buckets; each bucket packs its items online into the fill level that minimises
+Token counts are taken once with a public tokenizer in Arrow batches (the texts are never shuffled); its rank file is
+handed to the workers by Spark.  The narrow rows (document, tokens) are then hashed into buckets, repeated rows each by
+themselves, so no bucket grows with a key; each bucket packs its items online into the fill level that minimises
 the sum of the squared counts of partly filled containers, kept in one level array of ``capacity`` entries.
 
 Only an item longer than a container is split: into full containers and a remainder that is packed like any other
@@ -15,13 +16,17 @@ the result depends on ids and sizes only, not on the order or the partitions of
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from litspark.session import cut
+
 # Fixed value: the pattern that splits text before the merges of the rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -40,10 +45,12 @@ def encoder(ranks_path: str):
 
 
 def token_counts(df: DataFrame, key: str, text: str, ranks_path: str = DEFAULT_RANKS) -> DataFrame:
-    """key and n_tokens of each row with a text."""
+    """key and n_tokens of each row with a text.  ranks_path: a rank file that the driver can read."""
+    df.sparkSession.sparkContext.addFile(ranks_path)
+    name = os.path.basename(ranks_path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(ranks_path).encode_ordinary
+        encode = encoder(SparkFiles.get(name)).encode_ordinary
         for b in batches:
             yield pd.DataFrame({"key": b["key"], "n_tokens": [len(encode(t)) for t in b["text"]]})
 
@@ -87,6 +94,8 @@ def pack(items: DataFrame, capacity: int, bucket_rows: int = 50_000) -> DataFram
 
     items: key (long, unique or repeated) and n_tokens.  part is 1 for an item that is not split.
     """
+    # counted and used again: the tokens are not to be counted twice
+    items = cut(items.select("key", "n_tokens").where("key is not null and n_tokens > 0"))
     buckets = max(1, -(-items.count() // bucket_rows))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -105,5 +114,6 @@ def pack(items: DataFrame, capacity: int, bucket_rows: int = 50_000) -> DataFram
         all_["container"] = all_["local"] * buckets + bucket
         return all_[["key", "part", "n_tokens", "container", "offset_tokens"]]
 
-    hashed = items.select("key", "n_tokens").where("key is not null and n_tokens > 0").withColumn("h", F.xxhash64("key")).withColumn("bucket", F.pmod("h", F.lit(buckets)))
+    copies = items.groupBy("key", "n_tokens").agg(F.count("*").alias("n")).select("key", "n_tokens", F.explode(F.sequence(F.lit(1), "n")).alias("copy"))
+    hashed = copies.select("key", "n_tokens", F.xxhash64("key", "copy").alias("h")).withColumn("bucket", F.pmod("h", F.lit(buckets)))
     return hashed.groupBy("bucket").applyInPandas(run, "key long, part long, n_tokens long, container long, offset_tokens long")

@@ -33,6 +33,51 @@ def test_alignment_keeps_columns():
     assert [max(c, key=lambda t: (c[t], t)) for c in merged if "c" in c] == ["c"] and all(abs(sum(c.values()) - 2.0) < 1e-9 for c in merged)
 
 
+def test_halved_alignments_are_as_good(monkeypatch):
+    rnd = random.Random(11)
+    one = lambda t: [{w: 1.0} for w in t]
+
+    def score(a, b):
+        total = 0.0
+        rest_a, rest_b = iter(a), iter(b)
+        for of_a, of_b in survivor._steps(a, survivor._Scorer(b), 0, len(b)):
+            x, y = next(rest_a) if of_a else None, next(rest_b) if of_b else None
+            total += -1.0 if x is None or y is None else 2.0 if x == y else -1.0
+        assert next(rest_a, None) is None and next(rest_b, None) is None
+        return total
+
+    for _ in range(20):
+        a, b = (one([rnd.choice("abcdef") for _ in range(rnd.randrange(1, 40))]) for _ in range(2))
+        whole = score(a, b)
+        monkeypatch.setattr(survivor, "MOST_CELLS", 30)
+        assert score(a, b) == whole
+        monkeypatch.undo()
+
+
+def test_consensus_of_long_values():
+    rnd = random.Random(12)
+    base = [rnd.choice(WORDS) for _ in range(3000)]
+    # different first and last words, so that nearly all words lie in the differing middle
+    copies = [["x", *base, "end"], ["y", *base[:1500], *base[1510:], "stop"], ["z", *base[:700], "new", *base[700:], "final"]]
+    profile = survivor.consensus_profile([(1.0, [{w: 1.0} for w in c]) for c in copies])
+    agreed = [t for t in (survivor._leader(c) for c in profile) if t]
+    assert agreed[1:-1] == base
+
+
+def test_a_key_of_very_many_rows_fills_many_buckets(spark):
+    df = spark.createDataFrame([(7, 30)] * 500 + [(i, 30) for i in range(100, 200)], "key long, n_tokens long")
+    out = packing.pack(df, 100, bucket_rows=50).toPandas()
+    assert len(out) == 600 and (out["key"] == 7).sum() == 500
+    assert out.groupby("container")["n_tokens"].sum().max() <= 100 and (out["container"] % 12).nunique() > 6
+
+
+def test_a_key_of_very_many_rows_fills_many_buckets(spark):
+    df = spark.createDataFrame([(7, 30)] * 500 + [(i, 30) for i in range(100, 200)], "key long, n_tokens long")
+    out = packing.pack(df, 100, bucket_rows=50).toPandas()
+    assert len(out) == 600 and (out["key"] == 7).sum() == 500
+    assert out.groupby("container")["n_tokens"].sum().max() <= 100 and (out["container"] % 12).nunique() > 6
+
+
 def test_sum_of_squares_packs_within_capacity():
     rnd = np.random.default_rng(1)
     sizes = rnd.integers(1, 101, 3000)
@@ -185,7 +230,6 @@ def test_linkage(spark):
 def test_misspelt_and_cut_titles_meet(spark):
     rnd = random.Random(8)
     fill = [f"w{chr(97 + i)}{chr(97 + i)}ord" for i in range(26)]
-    schema = "id string, title string, dois array<string>"
     left, right = [], []
     for i in range(60):
         words = [rnd.choice(fill[:8]), *rnd.sample(fill, 8), f"drug{i}x", f"gene{i}y", *rnd.sample(fill, 4)]
@@ -198,9 +242,8 @@ def test_misspelt_and_cut_titles_meet(spark):
         else:  # two misspelt words beside the rare ones
             bad[2], bad[3], bad[4] = f"yy{i}", f"vv{i}", f"uu{i}"
         right.append((f"p{i}", " ".join(bad), []))
-    norm = F.pandas_udf(linkage.normal_title, "struct<norm:string,cut:boolean>")
-    side = lambda rows: spark.createDataFrame(rows, schema).withColumn("norm", norm("title")["norm"])
-    got = {(r.l_id, r.r_id) for r in linkage.candidates(side(left), side(right), 20_000).collect()}
+    side = lambda rows: spark.createDataFrame([(int(i[1:]), linkage.normal(t)[0]) for i, t, _ in rows], "t long, norm string")
+    got = {(f"a{r.l_t}", f"p{r.r_t}") for r in linkage.candidates(side(left), side(right), 20_000).collect()}
     near = lambda x, y: len(set(x.split()) & set(y.split())) >= 0.7 * min(len(set(x.split())), len(set(y.split())))
     assert {(f"a{i}", f"p{i}") for i in range(60)} <= got
     assert {(x[0], y[0]) for x in left for y in right if near(x[1], y[1]) and x[0][1:] == y[0][1:]} <= got
@@ -221,8 +264,26 @@ def test_registrants_beyond_a_thousand_count(spark, tmp_path, monkeypatch):
 
 
 def test_title_keys_widen_with_the_corpus():
-    rare, often = linkage.keys_of("a b c d e f g h", dict.fromkeys("bcdefg", 40), 1000), linkage.keys_of("a b c d e f g h", dict.fromkeys("bcdefg", 400), 1000)
-    assert "b|c" in rare and "b|c" not in often and "b|c|d" in often and "a" in rare and "h" in often and "^abcdefg" in often
+    rare, often = linkage.keys_of("a b c d e f g h", dict.fromkeys("bcdefg", 30), 1000), linkage.keys_of("a b c d e f g h", dict.fromkeys("bcdefg", 400), 1000)
+    assert "b|c" in rare and "b|c" not in often and "a" in rare and "h" in often and "^abcdefg" in often
+    # three of 400 in 1,000 are expected in 64 titles, five in 10: all six are taken
+    assert "b|c|d" not in often and "b|c|d|e|f|g" in often
+    # at any size of the corpus no set of words is expected in more than RARE titles, as long as there are words left
+    for n in (10**3, 10**5, 10**7):
+        for k in linkage.keys_of("a b c d e f g h", dict.fromkeys("abcdefgh", n // 100), n):
+            if "|" in k:
+                assert n * 0.01 ** len(k.split("|")) <= linkage.EXPECTED
+    # words beyond the bound are as frequent as the last within it
+    assert "a" not in linkage.keys_of("a b c d", {"c": 900, "d": 900}, 1000, floor=500)
+
+
+def test_titles_of_very_many_rows(spark):
+    schema = "id string, title string, work string, preprint boolean, dois array<string>, year int, journal string"
+    right = [(f"p{i}", "Correction", None, None, [], 1900 + i % 100, f"J{i % 70}") for i in range(300)] + [("q", "A title of its own about one thing", None, None, [], 2001, "J")]
+    left = [("a", "Correction", None, None, [], 1907, "J7"), ("b", "A title of its own about one thing", None, None, [], 2001, "J"), ("c", "Correction", None, None, [], None, None)]
+    out = {(r.l_id, r.r_id) for r in linkage.link(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)).collect()}
+    near = {(x[0], y[0]) for x in left for y in right if x[1] == y[1] == "Correction" and x[5] and abs(x[5] - y[5]) <= 1 and x[6] == y[6]}
+    assert out == near | {("b", "q")}
 
 
 def _passage(rnd, n):
