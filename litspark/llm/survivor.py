@@ -9,8 +9,8 @@ progressive alignment, weighted tokens vote per column, and the existing value n
 Groups are aligned in blocks of at most ``fan_in`` values, and the blocks' consensus profiles are aligned again, level
 by level, so the work of one task is bounded whatever the size of a group.
 
-Limit: where the differing middles of two values exceed ``MOST_CELLS`` pairs of words (about 2,000 words each) they are not
-aligned; the heavier side's words stand there, and the lighter side votes for a gap at each of them.
+Values of any length are aligned: where their differing middles exceed ``MOST_CELLS`` pairs of words, they are halved
+(Hirschberg's method), which needs memory in proportion to their length only and gives as good an alignment.
 
 Defined results: rows without a group key belong to no group; groups of one row are left out by ``survivors`` and keep
 their only value in ``consensus``; ties go to the smallest id; blank values never win over values; empty tables give
@@ -20,11 +20,16 @@ empty results.
 from __future__ import annotations
 
 import json
+from collections import deque
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from litspark.session import cut
+
 MOST_CELLS = 4_000_000
 # What stands for a missing text.
 NO_TEXT = (
@@ -70,6 +75,66 @@ def _leader(column: dict[str, float]) -> str:
     return min(column, key=lambda t: (-column[t], t))
 
 
+class _Scorer:
+    """Scores of the columns of one profile against all columns of another."""
+
+    def __init__(self, b: Profile) -> None:
+        self.size = len(b)
+        self.voters: dict[str, list[int]] = {}
+        for j, c in enumerate(b):
+            for t in c:
+                self.voters.setdefault(t, []).append(j)
+        self.first: dict[str, list[int]] = {}
+        for j, c in enumerate(b):
+            self.first.setdefault(_leader(c), []).append(j)
+
+    def against(self, column: dict[str, float], lo: int, hi: int) -> np.ndarray:
+        """2 where both sides' leading tokens are equal, 0.5 where one side's is among the other's votes, else -1."""
+        out = np.full(self.size, -1.0)
+        x = _leader(column)
+        for t in column:
+            out[self.first.get(t, ())] = 0.5
+        out[self.voters.get(x, ())] = 0.5
+        out[self.first.get(x, ())] = 2.0
+        return out[lo:hi]
+
+
+def _rows(a: Profile, b: _Scorer, lo: int, hi: int, back: bool) -> Iterator[np.ndarray]:
+    """Rows of the score table of a against b[lo:hi], from the begin or from the end."""
+    along = np.arange(hi - lo + 1, dtype=float)
+    row = -along
+    yield row
+    for column in reversed(a) if back else a:
+        same = b.against(column, lo, hi)
+        best = row - 1.0
+        best[1:] = np.maximum(best[1:], row[:-1] + (same[::-1] if back else same))
+        row = np.maximum.accumulate(best + along) - along
+        yield row
+
+
+def _steps(a: Profile, b: _Scorer, lo: int, hi: int) -> list[tuple[bool, bool]]:
+    """(takes a column of a, takes one of b) along the best path."""
+    n, m = len(a), hi - lo
+    if n * m > MOST_CELLS and n > 1:
+        half = n // 2
+        fore, aft = deque(_rows(a[:half], b, lo, hi, False), 1)[0], deque(_rows(a[half:], b, lo, hi, True), 1)[0]
+        at = lo + int((fore + aft[::-1]).argmax())
+        return _steps(a[:half], b, lo, at) + _steps(a[half:], b, at, hi)
+    table = np.stack(list(_rows(a, b, lo, hi, False)))
+    out, i, j = [], n, m
+    while i or j:
+        if i and j and table[i, j] == table[i - 1, j - 1] + b.against(a[i - 1], lo, hi)[j - 1]:
+            i, j = i - 1, j - 1
+            out.append((True, True))
+        elif i and table[i, j] == table[i - 1, j] - 1.0:
+            i -= 1
+            out.append((True, False))
+        else:
+            j -= 1
+            out.append((False, True))
+    return out[::-1]
+
+
 def align(a: Profile, b: Profile) -> Profile:
     """Global alignment of two profiles; columns meet where their votes agree."""
     la, lb = [_leader(c) for c in a], [_leader(c) for c in b]
@@ -81,32 +146,10 @@ def align(a: Profile, b: Profile) -> Profile:
         tail += 1
     ma, mb = a[head : len(a) - tail], b[head : len(b) - tail]
     wa, wb = sum(a[0].values()) if a else 0.0, sum(b[0].values()) if b else 0.0
-    n, m = len(ma), len(mb)
-    if n * m > MOST_CELLS:  # values too long to align: the heavier side's words stand
-        middle = [_joined(c, {"": wb}) for c in ma] if wa >= wb else [_joined(c, {"": wa}) for c in mb]
-        return [_joined(x, y) for x, y in zip(a[:head], b[:head], strict=True)] + middle + [_joined(x, y) for x, y in zip(a[len(a) - tail :], b[len(b) - tail :], strict=True)]
-    ta, tb = la[head : len(a) - tail], lb[head : len(b) - tail]
-    score = [[-float(i + j) if 0 in (i, j) else 0.0 for j in range(m + 1)] for i in range(n + 1)]
-    for i in range(1, n + 1):
-        up, row, x, cx = score[i - 1], score[i], ta[i - 1], ma[i - 1]
-        for j in range(1, m + 1):
-            same = 2.0 if x == tb[j - 1] else (0.5 if tb[j - 1] in cx or x in mb[j - 1] else -1.0)
-            row[j] = max(up[j - 1] + same, up[j] - 1.0, row[j - 1] - 1.0)
     middle: Profile = []
-    i, j = n, m
-    while i or j:
-        if i and j:
-            same = 2.0 if ta[i - 1] == tb[j - 1] else (0.5 if tb[j - 1] in ma[i - 1] or ta[i - 1] in mb[j - 1] else -1.0)
-        if i and j and score[i][j] == score[i - 1][j - 1] + same:
-            i, j = i - 1, j - 1
-            middle.append(_joined(ma[i], mb[j]))
-        elif i and score[i][j] == score[i - 1][j] - 1.0:
-            i -= 1
-            middle.append(_joined(ma[i], {"": wb}))
-        else:
-            j -= 1
-            middle.append(_joined({"": wa}, mb[j]))
-    middle.reverse()
+    left, right = iter(ma), iter(mb)
+    for of_a, of_b in _steps(ma, _Scorer(mb), 0, len(mb)):
+        middle.append(_joined(next(left) if of_a else {"": wa}, next(right) if of_b else {"": wb}))
     front = [_joined(x, y) for x, y in zip(a[:head], b[:head], strict=True)]
     back = [_joined(x, y) for x, y in zip(a[len(a) - tail :], b[len(b) - tail :], strict=True)]
     return front + middle + back
@@ -131,7 +174,7 @@ def consensus_profile(profiles: list[tuple[float, Profile]]) -> Profile:
 def consensus(df: DataFrame, group: Column, value: Column, weight: Column, fan_in: int = 32) -> DataFrame:
     """group, value, n: per group the existing value that lies nearest to the token-level consensus of all its values."""
     counted = df.select(group.alias("grp"), value.alias("value"), weight.cast("double").alias("w")).where("grp is not null and value is not null and value <> ''")
-    values = counted.groupBy("grp", "value").agg(F.sum("w").alias("w"), F.count("*").alias("n"))
+    values = cut(counted.groupBy("grp", "value").agg(F.sum("w").alias("w"), F.count("*").alias("n")))
     sizes = values.groupBy("grp").agg(F.count("*").alias("k"))
     largest = sizes.agg(F.max("k")).head()[0] or 0
     # the alignment is for groups with two or more spellings; a block never holds more than a few times fan_in of them

@@ -71,13 +71,6 @@ def test_a_key_of_very_many_rows_fills_many_buckets(spark):
     assert out.groupby("container")["n_tokens"].sum().max() <= 100 and (out["container"] % 12).nunique() > 6
 
 
-def test_a_key_of_very_many_rows_fills_many_buckets(spark):
-    df = spark.createDataFrame([(7, 30)] * 500 + [(i, 30) for i in range(100, 200)], "key long, n_tokens long")
-    out = packing.pack(df, 100, bucket_rows=50).toPandas()
-    assert len(out) == 600 and (out["key"] == 7).sum() == 500
-    assert out.groupby("container")["n_tokens"].sum().max() <= 100 and (out["container"] % 12).nunique() > 6
-
-
 def test_sum_of_squares_packs_within_capacity():
     rnd = np.random.default_rng(1)
     sizes = rnd.integers(1, 101, 3000)
