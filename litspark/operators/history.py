@@ -1,8 +1,11 @@
 """History of changing attributes, kept as a checkpoint-delta store and read back as validity periods.
 
 ``delta_store`` turns the versions of each entity into full versions (checkpoints) every ``every`` versions and, in
-between, patches that hold only the attributes that changed; unchanged versions are not stored.  ``validity`` folds the
-patches forward from the nearest checkpoint and gives one row per longest run of one value.
+between, patches that hold only the attributes that changed (none for an unchanged version, which still tells a late one
+where to end).  ``validity`` folds the
+patches forward from the nearest checkpoint and gives one row per longest run of one value; ``state_at`` gives the values
+at one time from the checkpoint before it; ``appended`` takes further versions into a stored history, late ones too.
+The store is a plain table: write it, read it back, and fold it again.
 
 Scale: versions are range-partitioned by entity *and* time, so an entity with a third of all versions spans many
 tasks; each task starts with a checkpoint, and only the runs at the edges of tasks (two per attribute and task) are
@@ -18,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from litspark.session import shuffle_partitions
+from litspark.session import cut, shuffle_partitions
 
 OPEN_END = "9999-12-31"
 _NULL = "\ue000"  # stands for null inside the folds; a private-use character
@@ -63,17 +67,74 @@ def delta_store(versions: DataFrame, attrs: list[str], every: int = 16) -> DataF
             full = new | (nth % every == 0)
             mask[full] = everything
             last = (entity[-1], [v[-1] for v in values], int(nth[-1]))
-            kept = mask > 0
-            out = b.loc[kept, ["entity", "seen", "vid"]].copy()
-            out["kind"] = np.where(full[kept], "full", "patch")
-            out["mask"] = mask[kept]
+            out = b[["entity", "seen", "vid"]].copy()
+            out["kind"] = np.where(full, "full", "patch")
+            out["mask"] = mask
             for i, a in enumerate(attrs):
-                out[a] = b.loc[kept, a].where((mask[kept] >> i & 1) == 1, None)
+                out[a] = b[a].where((mask >> i & 1) == 1, None)
             yield out
 
     return ordered.mapInPandas(run, "entity string, seen string, vid long, kind string, mask long, " + ", ".join(f"{a} string" for a in attrs))
 
 
+def state_at(store: DataFrame, attrs: list[str], time: str) -> DataFrame:
+    """entity, seen, vid and the attributes of each entity as of ``time`` (in the form of ``seen``, that time included).
+
+    Only the nearest checkpoint and the patches behind it are read into the fold, an aggregate with map-side combine.
+    """
+    known = store.where(F.col("seen") <= time).withColumn("at", F.struct("seen", "vid"))
+    nearest = known.where("kind = 'full'").groupBy("entity").agg(F.max("at").alias("checkpoint"))
+    rest = known.join(nearest, "entity").where(F.col("at") >= F.col("checkpoint"))
+    values = [F.max(F.when(F.expr(f"(mask >> {i}) & 1 = 1"), F.struct("at", F.col(a).alias("v"))))["v"].alias(a) for i, a in enumerate(attrs)]
+    return rest.groupBy("entity").agg(F.max("at").alias("at"), *values).select("entity", "at.seen", "at.vid", *attrs)
+
+
+def unfolded(store: DataFrame, attrs: list[str]) -> DataFrame:
+    """entity, seen, vid and all attributes of every stored version: patches folded forward from their checkpoint.
+
+    The store is read in ranges by entity and time; a range that does not begin with a checkpoint gets the state before
+    it from the range before (one row for each range).
+    """
+    part = store.repartitionByRange(shuffle_partitions(store.sparkSession), "entity", "seen", "vid").sortWithinPartitions("entity", "seen", "vid")
+    schema = "entity string, seen string, vid long, part int, have long, " + ", ".join(f"{a} string" for a in attrs)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, last, values, have = TaskContext.get().partitionId(), None, [None] * len(attrs), 0
+        for b in batches:
+            out = []
+            for entity, seen, vid, mask, *new in b[["entity", "seen", "vid", "mask", *attrs]].itertuples(index=False):
+                if entity != last:
+                    last, values, have = entity, [None] * len(attrs), 0
+                values = [n if mask >> i & 1 else v for i, (v, n) in enumerate(zip(values, new, strict=True))]
+                have |= mask
+                out.append((entity, seen, vid, part, have, *values))
+            yield pd.DataFrame(out, columns=["entity", "seen", "vid", "part", "have", *attrs])
+
+    rows = cut(part.mapInPandas(run, schema))
+    everything = (1 << len(attrs)) - 1
+    # what a range knows of its last entity at its end, for the ranges behind it
+    ends = rows.groupBy("part").agg(F.max(F.struct("entity", "seen", "vid", "have", *attrs)).alias("e")).select("part", "e.*")
+    missing = rows.where(F.col("have") != everything).select("entity", "part").distinct()
+    before = missing.join(ends.select(F.col("part").alias("earlier"), "entity", F.col("have").alias("had"), *[F.col(a).alias(f"b_{a}") for a in attrs]), "entity").where("earlier < part")
+    carried = before.groupBy("entity", "part").agg(*[F.max_by(F.struct(F.col(f"b_{a}").alias("v")), F.when(F.expr(f"(had >> {i}) & 1 = 1"), F.col("earlier"))).alias(f"c_{a}") for i, a in enumerate(attrs)])
+    whole = rows.join(carried, ["entity", "part"], "left")
+    return whole.select("entity", "seen", "vid", *[F.when(F.expr(f"(have >> {i}) & 1 = 1"), F.col(a)).otherwise(F.col(f"c_{a}")["v"]).alias(a) for i, a in enumerate(attrs)])
+
+
+def appended(store: DataFrame, versions: DataFrame, attrs: list[str], every: int = 16) -> DataFrame:
+    """The store with further versions: histories of the entities they belong to are made anew, all others stay as they are.
+
+    Versions may be late, and repeated ones (same entity, time and id) count once, the stored one first.
+    """
+    new = versions.select("entity", "seen", "vid", *attrs).where("entity is not null and seen is not null")
+    touched = cut(new.select("entity").distinct())
+    old = unfolded(store.join(touched, "entity", "left_semi"), attrs)
+    every_column = [F.min_by(F.struct(*attrs), "late").alias("a")]
+    both = old.withColumn("late", F.lit(0)).unionByName(new.withColumn("late", F.lit(1))).groupBy("entity", "seen", "vid").agg(*every_column)
+    made = delta_store(both.select("entity", "seen", "vid", "a.*"), attrs, every)
+    return store.join(touched, "entity", "left_anti").select(made.columns).unionByName(made)
+
+
 def validity(store: DataFrame, attrs: list[str], ordered: bool = False) -> DataFrame:
     """entity, attr, val, valid_from, valid_to (both in the form of ``seen``; null: still valid).
 

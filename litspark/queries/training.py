@@ -21,7 +21,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     for tbl, key, column, packing in parts:
         part = multivalue.unpack(table(spark, d, tbl), column, packing, [f"'{tbl}' as tbl", f"{key} as row_key"])
         out = part if out is None else out.unionByName(part)
-    return out.distinct()
+    # keys are unique and places differ within a cell, so the rows are distinct as they are
+    return out
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -58,6 +59,13 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return runs.select(F.col("entity").alias("nct_id"), "attr", ids.iso_date("valid_from").alias("valid_from"), F.when(F.col("valid_to").isNull(), history.OPEN_END).otherwise(to).alias("valid_to"))
 
 
+def p6_as_of(spark: SparkSession, d: str) -> DataFrame:
+    """The tracked fields of each trial as of the latest complete snapshot, from the nearest checkpoints."""
+    latest = table(spark, d, "snapshot").where("complete = 1").agg(F.max("snapshot_date")).head()[0] or ""
+    state = history.state_at(p6_store(spark, d), TRACKED, latest.replace("-", "") + "999999")
+    return state.select(F.col("entity").alias("nct_id"), ids.iso_date("seen").alias("seen"), *TRACKED)
+
+
 _SQL_NCT = "'NCT' || regexp_extract(upper({c}), 'NCT[^0-9A-Z]*([0-9]{{8}})', 1)"
 _P3_SQL = f"""
 with c as (select snapshot_date, row_number() over (order by snapshot_date) n from snapshot where complete = 1),
@@ -75,5 +83,12 @@ r as (select *, lead(s) over (partition by k, attr order by rn) nx from l where
 select k as nct_id, attr, s[1:4] || '-' || s[5:6] || '-' || s[7:8] as valid_from, coalesce(nx[1:4] || '-' || nx[5:6] || '-' || nx[7:8], '9999-12-31') as valid_to from r
 """
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p6_store": p6_store}
-SQL = {"p3_found": _P3_SQL, "p6_found": _P6_SQL}
+_P6_STATE_SQL = f"""
+with v as (select {_SQL_NCT.format(c="nct_id")} k, rpad(regexp_replace(first_seen, '[^0-9]', '', 'g'), 14, '0') s, version_id i, {", ".join(f"nullif(regexp_replace(lower(record->>'{a}'), '[^[:alnum:]]', '', 'g'), '') {a}" for a in TRACKED)} from trial_version),
+w as (select * from v where s <= (select replace(max(snapshot_date), '-', '') || '999999' from snapshot where complete = 1)),
+l as (select k, s, row_number() over (partition by k order by s desc, i desc) r, {", ".join(TRACKED)} from w)
+select k as nct_id, s[1:4] || '-' || s[5:6] || '-' || s[7:8] as seen, {", ".join(TRACKED)} from l where r = 1
+"""
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p6_store": p6_store, "p6_as_of": p6_as_of}
+SQL = {"p3_found": _P3_SQL, "p6_found": _P6_SQL, "p6_as_of": _P6_STATE_SQL}

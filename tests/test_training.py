@@ -131,6 +131,96 @@ def test_history_against_brute_force(spark):
     assert history.validity(history.delta_store(df.limit(0), ["p", "q"]), ["p", "q"]).count() == 0
 
 
+def _versions(rnd, n, first=0):
+    return [(f"e{rnd.randrange(6)}" if rnd.random() < 0.6 else "hot", f"{rnd.randrange(400):014d}", first + i, rnd.choice(["a", "b", None]), rnd.choice(["x", "y"])) for i in range(n)]
+
+
+def test_stored_history_is_read_back_and_appended_to(spark, tmp_path):
+    rnd = random.Random(13)
+    attrs, schema = ["p", "q"], "entity string, seen string, vid long, p string, q string"
+    old, new = _versions(rnd, 300), [("e9", "00000000000001", 999, "a", "x")] + [v for v in _versions(rnd, 40, 1000) if v[0] in ("hot", "e1")]
+    history.delta_store(spark.createDataFrame(old, schema).repartition(3), attrs, 5).write.parquet(f"{tmp_path}/store")
+    store = spark.read.parquet(f"{tmp_path}/store")
+    assert {tuple(r) for r in history.unfolded(store, attrs).collect()} == set(old)
+    more = history.appended(store, spark.createDataFrame(new + old[:7], schema), attrs, 5)
+    more.write.parquet(f"{tmp_path}/more")
+    again = spark.read.parquet(f"{tmp_path}/more")
+    got = {tuple(r) for r in history.validity(again, attrs).select("entity", "attr", "val", "valid_from", "valid_to").collect()}
+    assert got == _periods(old + new, attrs)
+    for time in ("00000000000000", "00000000000200", "00000000000399"):
+        want = {}
+        for r in sorted(old + new, key=lambda r: (r[1], r[2])):
+            if r[1] <= time:
+                want[r[0]] = r[3:]
+        assert {r.entity: (r.p, r.q) for r in history.state_at(again, attrs, time).collect()} == want
+    assert history.appended(store.limit(0), spark.createDataFrame(new, schema), attrs).where("kind = 'full'").count() > 0
+    assert history.state_at(store.limit(0), attrs, "9").count() == 0 and history.appended(store, spark.createDataFrame([], schema), attrs).count() == store.count()
+
+
+def test_snapshot_diff_with_clashing_hashes(spark):
+    rnd = random.Random(6)
+    rows = [(f"k{rnd.randrange(20)}", rnd.choice(["d1", "d2", "d3"]), rnd.choice(["x", "y"]), i, "r") for i in range(160)]
+    df = spark.createDataFrame(rows, "k string, d string, h string, t long, r string")
+    snaps = spark.createDataFrame([("d1",), ("d2",), ("d3",)], "snapshot_date string")
+    one = lambda h: {tuple(r) for r in snapshot_diff.snapshot_changes(df, snaps, F.col("k"), F.col("d"), F.col("h"), F.col("t"), 3, h).collect()}
+    # a poor hash: the keys' last digit
+    assert one(lambda c: F.substring(c, -1, 1).cast("long")) == one(F.xxhash64) != set()
+
+
+def test_tables_of_nested_records(spark):
+    doc = {"id": 7, "a": {"b": "x", "n": None}, "l": [{"k": 1.0, "deep": {"v": True}, "in": ["p", None, {"q": 2}]}, 5, [], {"only": []}]}
+    raws = [json.dumps(doc), json.dumps(doc, indent=3), json.dumps(json.dumps(json.dumps(json.dumps(json.dumps(json.dumps(doc)))))), json.dumps(doc) + "x", '{"a": 1,}', '{"a" 1}', "[1, 2", '{"a": tru}', '{"a": 01}', None, "7"]
+    df = spark.createDataFrame(list(enumerate(raws)), "i long, raw string")
+    rows = nested.tables(df, "i", "raw")
+    got = {}
+    for r in rows.collect():
+        got.setdefault(r.parent_key, {})[r.tbl, tuple(r.place)] = (tuple(r.parent_place), dict(r.members))
+    want = {("", ()): ((), {"id": "7", "a.b": "x"}), ("l.*", (1,)): ((), {"k": "1", "deep.v": "true"}), ("l.*.in.*", (1, 1)): ((1,), {"": "p"}), ("l.*.in.*", (1, 3)): ((1,), {"q": "2"}), ("l.*", (2,)): ((), {"": "5"}), ("l.*", (4,)): ((), {})}
+    assert got == {"0": want, "1": want, "2": want}
+    flat = nested.table_of(rows, "l.*", ["k", "deep.v", "none"]).where("parent_key = '0'").collect()
+    assert {(tuple(r.place), r.k, r.deep_v, r.none) for r in flat} == {((1,), "1", "true", None), ((2,), None, None, None), ((4,), None, None, None)}
+
+
+def test_stream_parser_reads_what_json_reads():
+    rnd = random.Random(14)
+
+    def value(depth):
+        kind = rnd.randrange(8 if depth else 5)
+        return [None, rnd.random() < 0.5, rnd.randrange(-9, 99) / rnd.choice([1, 4]), "".join(rnd.choice('ab"\\\u00e9\U0001f600\n/') for _ in range(rnd.randrange(5))), rnd.randrange(10**6)][kind] if kind < 5 else [value(depth - 1) for _ in range(rnd.randrange(4))] if kind < 6 else {f"m{i}": value(depth - 1) for i in range(rnd.randrange(4))}
+
+    def plain(v, path=(), places=()):
+        if isinstance(v, list):
+            return [x for i, e in enumerate(v, 1) for x in plain(e, (*path, "*"), (*places, i))]
+        if isinstance(v, dict):
+            return [x for k, e in v.items() for x in plain(e, (*path, k), places)]
+        return [(path, places, v)]
+
+    for _ in range(300):
+        v = value(4)
+        for text in (json.dumps(v), json.dumps(v, indent=1, ensure_ascii=False)):
+            assert [(p, o, x) for p, o, x, kind in nested.events(text) if kind != nested.HOLDER] == plain(v)
+            broken = text[: rnd.randrange(len(text))] if rnd.random() < 0.5 else text + rnd.choice(["}", "]", " 1", ","])
+            try:
+                json.loads(broken)
+                good = True
+            except ValueError:
+                good = False
+            try:
+                list(nested.events(broken))
+                mine = True
+            except ValueError:
+                mine = False
+            assert mine == good, broken
+
+
+def test_wrapped_however_deep():
+    p = {"conditionsModule": {"conditions": ["c"]}}
+    text = json.dumps({"protocolSection": p})
+    for i in range(9):
+        text = json.dumps({"study": json.loads(text)}) if i % 2 else json.dumps({"data": [json.loads(text)]})
+    assert nested.rows_of(text, nested.TRIAL) == [("condition", 1, 0, "c")]
+
+
 def test_loose_values(spark):
     df = spark.createDataFrame([("Not yet recruiting", "NOT_YET_RECRUITING"), ("45", "45.0"), (" ", None), ("Acme, Inc.", "ACME  inc")], "a string, b string")
     assert all(r.a == r.b for r in df.select(history.loose(F.col("a")).alias("a"), history.loose(F.col("b")).alias("b")).collect())
