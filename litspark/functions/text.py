@@ -165,6 +165,16 @@ def inverted_text(index: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(places), lambda s: s["w"]), " ")
 
 
+def _nfkc(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t.replace("∆", "Δ")))
+
+
+def nfkc(c: Column | str) -> Column:
+    """Compatibility characters in their plain form, the increment sign as the letter; only texts beyond ASCII leave the JVM."""
+    t = _c(c)
+    return F.when(t.rlike(r"^[\x00-\x7F]*$"), t).otherwise(F.pandas_udf(_nfkc, "string")(t))
+
+
 def _nfkc_key(s: pd.Series) -> pd.Series:
     def one(t: str | None) -> str | None:
         if t is None:

@@ -2,7 +2,8 @@
 
 Per category the aliases are counted in title and abstract, after blanking phrases that only look like an alias and
 aliases of more specific categories; 20 for the title, 3 for the abstract, a primary tag from 6 on.  Each count is
-guarded by a test for a literal that any match must hold, so most patterns never run.
+guarded by a test for a literal that any match must hold, so most patterns never run.  Null and empty texts count
+nothing; every row keeps its other columns.
 """
 
 from __future__ import annotations
@@ -10,18 +11,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litspark.plans.vocabulary import Compiled, Vocabulary
+from litspark.plans.vocabulary import Compiled, Vocabulary, names_pattern
 
 TITLE, ABSTRACT, PRIMARY = 20, 3, 6
 NONE = "Non-descript"
-# Phrases that hold an alias but do not name the organism or cell, each with the literals any match holds.
-CONTEXT = (
-    (("ad hoc", "ad lib", "ad-hoc", "ad-lib", "ad inf", "ad int", "ad nau", "ad hom", "ad val"), r"(?<![A-Za-z0-9])(?i:ad[\s-]+(?:hoc|libitum|lib|infinitum|interim|nauseam|hominem|valorem))(?![A-Za-z0-9])"),
-    (("washington",), r"Washington,?\s*D\.?\s?C\.?(?![A-Za-z0-9])"),
-    (("dc ", "dc-"), r"(?<![A-Za-z0-9])DC[\s-]+(?i:current|voltage|power|bias|motor|field)(?![A-Za-z0-9])"),
-    (("negative", "uninfected"), r"(?<![A-Za-z0-9])[A-Za-z0-9+]+(?:-[A-Za-z0-9+]+)*?-(?i:negative|seronegative|uninfected)(?![A-Za-z0-9])"),
-    (("negative", "uninfected"), r"(?<![A-Za-z0-9])[A-Z][A-Za-z0-9+]*(?:-[A-Za-z0-9+]+)*\s+(?i:negative|seronegative|uninfected)(?![A-Za-z0-9])"),
-)
+# Phrases that hold an alias but do not name the organism or cell.
+CONTEXT_MASKS = {
+    "latin_ad": r"(?<![A-Za-z0-9])(?i:ad[\s-]+(?:hoc|libitum|lib|infinitum|interim|nauseam|hominem|valorem))(?![A-Za-z0-9])",
+    "washington_dc": r"Washington,?\s*D\.?\s?C\.?(?![A-Za-z0-9])",
+    "direct_current": r"(?<![A-Za-z0-9])DC[\s-]+(?i:current|voltage|power|bias|motor|field)(?![A-Za-z0-9])",
+    "vector_parts": r"(?<![A-Za-z0-9])(?:CMV|hCMV|SV40|RSV|MoMLV|MMLV|MSCV)(?:[\s-]*IE)?[\s-]*(?i:promoters?|enhancers?|LTR|NLS|nuclear localization|ori|origin of replication|poly ?\(?A\)?|pA|intron|terminator)(?![A-Za-z0-9])",
+    "lymphodepletion": r"(?i:lympho(?:cyte)?[\s-]*depleti(?:ng|on)(?:[\s-]+(?:chemotherapy|regimen))?)",
+    "negated_hyphen": r"(?<![A-Za-z0-9])[A-Za-z0-9+]+(?:-[A-Za-z0-9+]+)*-(?i:negative|seronegative|uninfected)(?![A-Za-z0-9])",
+    "negated_space": r"(?<![A-Za-z0-9])[A-Z][A-Za-z0-9+]*(?:-[A-Za-z0-9+]+)*\s+(?i:negative|seronegative|uninfected)(?![A-Za-z0-9])",
+}
+FED_AD_LIB, BARE_AD = r"(?i)(?<![A-Za-z0-9])ad[\s-]+lib", r"(?<![A-Za-z0-9])Ad(?![A-Za-z0-9])"
+# a cheap test that every text with such a phrase passes: words of the phrases, whatever stands between them
+_MAY_HOLD = r"(?i)(?<![A-Za-z0-9])(?:ad|dc)[\s-]|washington|cmv|sv40|rsv|momlv|mmlv|mscv|depleti|negative|uninfected"
 
 
 def _with_match_text(df: DataFrame, raw: Column, out: str) -> DataFrame:
@@ -29,16 +35,13 @@ def _with_match_text(df: DataFrame, raw: Column, out: str) -> DataFrame:
 
     Each step is a column of its own, so that none is computed twice.
     """
-    df = df.withColumn(out, F.regexp_replace(F.coalesce(raw, F.lit("")), r"<[^>]+>", "")).withColumn(f"{out}_low", F.lower(out))
-    cleaned = F.col(out)
-    for literals, pattern in CONTEXT:
-        held = F.lit(False)
-        for x in literals:
-            held = held | F.col(f"{out}_low").contains(x)
-        df = df.withColumn(out, F.when(held, F.regexp_replace(cleaned, pattern, " ")).otherwise(cleaned))
-        cleaned = F.col(out)
-    shouted = ~cleaned.rlike(r"\p{Ll}") & (F.length(F.regexp_replace(cleaned, r"[^\p{L}]", "")) >= 12)
-    return df.withColumn(out, F.when(shouted, F.lower(cleaned)).otherwise(cleaned)).withColumn(f"{out}_low", F.lower(out))
+    df = df.withColumn(out, F.regexp_replace(F.coalesce(raw, F.lit("")), r"<[^>]+>", ""))
+    # texts that feed ad libitum call the group Ad
+    fed = F.when(F.col(out).rlike(FED_AD_LIB), F.regexp_replace(out, BARE_AD, " ")).otherwise(F.col(out))
+    masks = "|".join(f"(?:{m})" for m in CONTEXT_MASKS.values())
+    df = df.withColumn(out, F.when(F.col(out).rlike(_MAY_HOLD), F.regexp_replace(fed, masks, " ")).otherwise(F.col(out)))
+    shouted = ~F.col(out).rlike("[a-z]") & (F.length(F.regexp_replace(out, "[^A-Za-z]", "")) >= 12)
+    return df.withColumn(out, F.when(shouted, F.lower(out)).otherwise(F.col(out))).withColumn(f"{out}_low", F.lower(out))
 
 
 def _count(text: Column, lowered: Column, c: Compiled) -> Column:
@@ -87,6 +90,62 @@ def two_tier(df: DataFrame, vocab: Vocabulary, background: list[str], out: str,
     return s.withColumn(out, tag).drop("__s")
 
 
+# Phrases that mark computational work.
+COMPUTATIONAL = [
+    "bioinformatics", "bioinformatic", "computational biology", "genomics", "proteomics",
+    "transcriptomics", "metagenomics", "phylogenetic", "phylogenetics", "sequence analysis",
+    "sequence alignment", "multiple sequence alignment", "genome annotation",
+    "statistical genetics", "systems biology", "machine learning", "deep learning",
+    "neural network", "artificial intelligence", "r package", "bioconductor",
+    "galaxy platform", "nextflow", "snakemake", "rna-seq", "scrna-seq", "single-cell rna sequencing",
+    "chip-seq", "atac-seq", "whole-genome sequencing", "mass spectrometry", "network analysis",
+    "pathway analysis", "gene set enrichment", "structural bioinformatics", "molecular modeling",
+    "molecular modelling", "molecular docking", "molecular dynamics", "variant calling",
+    "in silico",
+]
+
+
+def computational(title: Column, abstract: Column) -> Column:
+    """Whether title or abstract, without markup, hold one of the phrases as whole words."""
+    text = F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(abstract, F.lit("")))
+    return F.regexp_replace(text, "<[^>]+>", "").rlike(names_pattern(COMPUTATIONAL))
+
+
+def mesh_axis(trees: Column) -> Column:
+    """The axis of a descriptor by its tree numbers: virus, bacteria, or cell where it is both cell and blood or immune; else null."""
+    under = lambda prefix: F.exists(trees, lambda t: t.startswith(prefix))
+    return F.when(under("B04"), "virus").when(under("B03"), "bacteria").when(under("A11") & under("A15"), "cell")
+
+
+def descriptor_categories(mesh: DataFrame, vocabularies: dict[str, Vocabulary]) -> DataFrame:
+    """term, axis, category of each descriptor that lies on an axis; category null where no name of the axis fits it.
+
+    mesh: label, trees (array), terms (array of entry terms).  The category whose name matches the longest part of the
+    label or an entry term counts; of equally long ones the first of the vocabulary, then the first text.
+    """
+    rows = mesh.select(F.col("label").alias("term"), mesh_axis(F.col("trees")).alias("axis"), F.concat(F.array("label"), F.coalesce("terms", F.array().cast("array<string>"))).alias("texts")).where("axis is not null")
+    plain = F.transform("texts", lambda t: F.regexp_replace(F.trim(t), "[-/]+", " "))
+    out = None
+    for axis, vocab in vocabularies.items():
+        found = [F.struct(F.array_max(F.transform("plain", lambda t, c=c: F.length(F.regexp_extract(t, c.pattern, 0)))).alias("n"), F.lit(-i).alias("o"), F.lit(c.name).alias("name")) for i, c in enumerate(vocab.compiled())]
+        best = F.array_max(F.array(*found)) if found else F.lit(None).cast("struct<n:int,o:int,name:string>")
+        part = rows.where(F.col("axis") == axis).withColumn("plain", plain).withColumn("b", best).select("term", "axis", F.when(F.col("b.n") > 0, F.col("b.name")).alias("category"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def major_or_all(df: DataFrame, record_id: str, major: str, every: str, denied: list[str]) -> DataFrame:
+    """id, pos, term: a record's major descriptors, or all of them where it has none; denied ones never count."""
+    terms = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), F.trim), lambda t: t != "")
+    chosen = F.when(F.size(terms(major)) > 0, terms(major)).otherwise(terms(every))
+    return df.select(F.col(record_id).alias("id"), F.posexplode(chosen).alias("pos", "term")).where(~F.col("term").isin(*denied)) if denied else df.select(F.col(record_id).alias("id"), F.posexplode(chosen).alias("pos", "term"))
+
+
+def unknown_descriptors(terms: DataFrame, lookup: DataFrame, budget: int) -> DataFrame:
+    """The most frequent terms that the look-up table does not hold, at most ``budget`` of them (a look-up budget)."""
+    return terms.join(lookup.select("term").distinct(), "term", "left_anti").groupBy("term").agg(F.countDistinct("id").alias("n")).orderBy(F.desc("n"), "term").limit(budget)
+
+
 def overridden(tags: DataFrame, terms: DataFrame, lookup: DataFrame, axis: str) -> DataFrame:
     """Curated terms over computed tags: the first mapped term replaces the tag, the first unmapped one only fills a missing tag.
 

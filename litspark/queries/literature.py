@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litspark.functions import text
-from litspark.operators import evaluate, landscape, records, resolve, search, tagging
+from litspark.functions import ids, text
+from litspark.operators import evaluate, landscape, records, resolve, search, tagging, trials
 from litspark.plans import vocabulary
 from litspark.plans.vocabulary import Vocabulary
 from litspark.session import table
@@ -95,21 +95,45 @@ def resolve_works(spark: SparkSession, d: str) -> DataFrame:
 _TEXTS = "title", "abstract"
 
 
+def virus_vocabulary(spark: SparkSession, d: str) -> Vocabulary:
+    """Virus families with the names of their viruses, from the registry."""
+    return vocabulary.from_table("virus", table(spark, d, "virus"), "virus_family", "virus")
+
+
+def condition_names(spark: SparkSession, d: str) -> DataFrame:
+    """category, name: the conditions that trials state, and the last words that several of them share, as generic ones."""
+    rec = F.from_json("record", "conditions array<string>")
+    stated = table(spark, d, "trial_version").select(F.explode(rec["conditions"]).alias("name")).where("trim(name) <> ''").select(F.trim("name").alias("name")).distinct()
+    last = stated.select(F.lower(F.element_at(F.split("name", " "), -1)).alias("name"), F.col("name").alias("whole")).where("contains(whole, ' ')")
+    shared = last.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+    return stated.unionByName(shared).select(F.col("name").alias("category"), "name")
+
+
 def tag_virus(spark: SparkSession, d: str) -> DataFrame:
-    """Primary virus and hits of each record."""
-    t = tagging.tagged(table(spark, d, "articles"), vocabulary.VIRUSES, "virus", *_TEXTS)
+    """Primary virus family and hits of each record."""
+    t = tagging.tagged(table(spark, d, "articles"), virus_vocabulary(spark, d), "virus", *_TEXTS)
     return t.select("article_id", "primary_virus", F.array_join("virus_hits", ";").alias("hits"))
 
 
-def tag_cell_hits(spark: SparkSession, d: str) -> DataFrame:
-    """Cell types, generic ones masked by specific ones, with the place of each hit; ties by name."""
-    t = tagging.tagged(table(spark, d, "articles"), vocabulary.CELLS, "cell", *_TEXTS, ties="name")
-    return t.select("article_id", "primary_cell", F.array_join("cell_placed", "|").alias("placed"))
+def tag_conditions(spark: SparkSession, d: str) -> DataFrame:
+    """Conditions, generic ones masked by specific ones, with the place of each hit; ties by name."""
+    t = tagging.tagged(table(spark, d, "articles"), vocabulary.from_table("condition", condition_names(spark, d), "category", "name"), "condition", *_TEXTS, ties="name")
+    return t.select("article_id", "primary_condition", F.array_join("condition_placed", "|").alias("placed"))
+
+
+def _trial_texts(spark: SparkSession, d: str) -> DataFrame:
+    """nct_id, title with interventions and other names, phase and status of the latest version of each trial."""
+    rec = F.from_json("record", trials.RECORD)
+    v = table(spark, d, "trial_version").select(ids.nct_id("nct_id").alias("nct_id"), ids.date_digits("first_seen").alias("seen"), "version_id", rec.alias("rec"))
+    latest = v.groupBy("nct_id").agg(F.max_by("rec", F.struct("seen", "version_id")).alias("rec"))
+    names = F.flatten(F.transform("rec.interventions", lambda i: F.concat(F.array(i["name"]), F.coalesce(i["other_names"], F.array().cast("array<string>")))))
+    title = F.concat_ws(". ", "rec.brief_title", F.array_join(names, "; "))
+    return latest.select("nct_id", title.alias("title"), F.lit(None).cast("string").alias("abstract"), text.phase_label(F.col("rec.phases")).alias("phase"), F.col("rec.overall_status").alias("status"))
 
 
 def tag_modality(spark: SparkSession, d: str) -> DataFrame:
-    """Modality in two tiers."""
-    return tagging.two_tier(table(spark, d, "articles"), vocabulary.MODALITIES, ["Small molecule"], "modality", *_TEXTS).groupBy("modality").agg(F.count("*").alias("n"))
+    """Trials by the virus family of their title, interventions and other names, in two tiers."""
+    return tagging.two_tier(_trial_texts(spark, d), virus_vocabulary(spark, d), ["Parvoviridae", "Retroviridae"], "family", *_TEXTS).select("nct_id", "family")
 
 
 def tag_override(spark: SparkSession, d: str) -> DataFrame:
@@ -125,15 +149,16 @@ def tag_override(spark: SparkSession, d: str) -> DataFrame:
 
 def bioinformatics_flag(spark: SparkSession, d: str) -> DataFrame:
     """Records whose text names a computational method."""
-    t = F.regexp_replace(F.concat_ws(" ", "title", "abstract"), "<[^>]+>", " ")
-    return table(spark, d, "articles").select("article_id", t.rlike(r"(?i)\b(sequencing|modelling|transcriptomics|bioinformatic\w*)\b").alias("flag"))
+    return table(spark, d, "articles").select("article_id", tagging.computational(F.col("title"), F.col("abstract")).alias("flag"))
 
 
 def landscape_pivot(spark: SparkSession, d: str) -> DataFrame:
-    """Therapies by stage."""
-    t = tagging.tagged(table(spark, d, "articles"), vocabulary.MODALITIES, "modality", *_TEXTS)
-    t = t.withColumn("stage", landscape.stage(F.trim("source"), F.lit(None).cast("string")))
-    return landscape.landscape(t, "primary_modality", "stage", F.lit(None).cast("string"))
+    """Virus families by stage, over articles and trials, with the trials that take participants."""
+    none = F.lit(None).cast("string")
+    a = table(spark, d, "articles").select(F.trim("source").alias("source"), "title", "abstract", none.alias("phase"), none.alias("status"))
+    t = _trial_texts(spark, d).select(F.lit("clinicaltrials.gov").alias("source"), "title", "abstract", "phase", F.upper(F.regexp_replace(F.trim("status"), r"[\s,-]+", "_")).alias("status"))
+    tagged = tagging.tagged(a.unionByName(t), virus_vocabulary(spark, d), "virus", *_TEXTS)
+    return landscape.landscape(tagged.withColumn("stage", landscape.stage(F.col("source"), F.col("phase"))), "primary_virus", "stage", F.col("status"))
 
 
 def source_report(spark: SparkSession, d: str) -> DataFrame:
@@ -258,44 +283,54 @@ def plot_filter(spark: SparkSession, d: str) -> DataFrame:
 # ---- SQL ----------------------------------------------------------------------------------------------------------
 
 
+_NEGATED = "'[A-Za-z0-9+]+(?:-[A-Za-z0-9+]+)*-(?i:negative|seronegative|uninfected)($|[^A-Za-z0-9])', ' \\1', 'g'"
+_NEGATED_TERM = "'(^|[^A-Za-z0-9])[A-Z][A-Za-z0-9+]*(?:-[A-Za-z0-9+]+)*\\s+(?i:negative|seronegative|uninfected)($|[^A-Za-z0-9])', '\\1 \\2', 'g'"
+
+
 def _sql_match_text(c: str) -> str:
-    t = f"regexp_replace(coalesce({c}, ''), '<[^>]+>', '', 'g')"
-    return f"case when length(regexp_replace({t}, '[^\\pL]', '', 'g')) >= 12 and not regexp_matches({t}, '\\p{{Ll}}') then lower({t}) else {t} end"
+    t = f"regexp_replace(regexp_replace(regexp_replace(coalesce({c}, ''), '<[^>]+>', '', 'g'), {_NEGATED}), {_NEGATED_TERM})"
+    shouted = f"case when length(regexp_replace({t}, '[^A-Za-z]', '', 'g')) >= 12 and not regexp_matches({t}, '[a-z]') then lower({t}) else {t} end"
+    # separators are doubled so that neighbouring matches do not share one
+    return f"regexp_replace({shouted}, '([^A-Za-z0-9])', '\\1\\1', 'g')"
 
 
-def _sql_pattern(aliases: list[str]) -> str:
-    parts = []
-    for a in sorted(dict.fromkeys(aliases), key=len, reverse=True):
-        core = r"[\s\x{a0}\-]+".join(a.replace("-", " ").split())
-        exact = len(a) <= vocabulary.SHORT and any(c.isupper() for c in a) and " " not in a
-        parts.append(core if exact else f"(?i:{core})")
-    return "(?:^|[^A-Za-z0-9])(?:" + "|".join(parts) + ")(?:$|[^A-Za-z0-9])"
+_SQL_NAME = "case when length({a}) <= 5 and regexp_matches({a}, '[A-Z]') and not contains({a}, ' ') then {p} else '(?i:' || {p} || ')' end"
 
 
-def _sql_scores(v: Vocabulary) -> str:
-    """Scores per category; separators are doubled so that neighbouring matches do not share one."""
-    def count(c: str, aliases: list[str]) -> str:
-        return f"len(regexp_extract_all({c}, '{_sql_pattern(aliases)}'))"
+def _sql_name(a: str) -> str:
+    return _SQL_NAME.format(a=a, p=f"regexp_replace({a}, '[\\s-]+', '[\\\\s\\\\x{{a0}}-]+', 'g')")
 
-    assert not any(c.mask for c in v.compiled())
-    return ", ".join(f"20 * {count('t2', a)} + 3 * {count('a2', a)} as s{i}" for i, a in enumerate(v.categories.values()))
 
+def _sql_union(names: str) -> str:
+    return f"'(?:^|[^A-Za-z0-9])(?:' || string_agg({_sql_name(names)}, '|' order by length({names}) desc, {names}) || ')(?:$|[^A-Za-z0-9])'"
 
-def _sql_tagged(v: Vocabulary, extra: str = "") -> str:
-    n = list(v.categories)
-    best = "greatest(" + ", ".join(f"s{i}" for i in range(len(n))) + ")"
-    pick = "case when best < 6 then 'Non-descript' " + " ".join(f"when s{i} = best then '{c}'" for i, c in enumerate(n)) + " end"
-    hits = "concat_ws(';', " + ", ".join(f"case when s{i} > 0 then '{c}' end" for i, c in enumerate(n)) + ")"
-    return (
-        f"with m as (select *, regexp_replace({_sql_match_text('title')}, '([^A-Za-z0-9])', '\\1\\1', 'g') t2, regexp_replace({_sql_match_text('abstract')}, '([^A-Za-z0-9])', '\\1\\1', 'g') a2 from articles), "
-        f"s as (select *, {_sql_scores(v)} from m), b as (select *, {best} best from s), tagged as (select *, {pick} tag, {hits} hits from b)" + extra
-    )
+
+def _sql_tagged(voc: str, rows: str, ties: str = "o") -> str:
+    """Common table expressions up to ``tagged`` (the columns of rows, tag, hits, placed).  voc: SQL of (c, a); rows: SQL with id, title and abstract."""
+    one = f"'(?:^|[^A-Za-z0-9])' || {_sql_name('v.a')} || '(?:$|[^A-Za-z0-9])'"
+    count = lambda t: f"len(regexp_extract_all(case when mask is null then {t} else regexp_replace({t}, mask, ' ', 'g') end, rx))"
+    return f"""with recursive voc as ({voc}), rx as (select c, {_sql_union('a')} rx, row_number() over (order by c) o from voc group by c),
+mk as (select c, {_sql_union('a')} mask from (select distinct v.c, w.a from voc v join voc w on w.c <> v.c and regexp_matches(regexp_replace(w.a, '([^A-Za-z0-9])', '\\1\\1', 'g'), {one})) group by c),
+src as ({rows}), m as (select id, {_sql_match_text('title')} t2, {_sql_match_text('abstract')} a2 from src),
+s as (select id, c, o, {count('t2')} t, {count('a2')} a from m cross join rx left join mk using (c)),
+best as (select id, case when max(20 * t + 3 * a) >= 6 then arg_max(c, (20 * t + 3 * a, -{ties})) else 'Non-descript' end tag, string_agg(c, ';' order by o) filter (t + a > 0) hits,
+ nullif(concat_ws('|', string_agg(c || ';Title', '|' order by o) filter (t > 0), string_agg(c || ';Abstract', '|' order by o) filter (a > 0)), '') placed from s group by id),
+tagged as (select src.*, tag, coalesce(hits, '') hits, placed from src join best using (id))"""
 
 
+_VIRUS_VOC = "select distinct trim(virus_family) c, trim(virus) a from virus where trim(virus_family) <> '' and trim(virus) <> ''"
+_CONDITION_VOC = """select a c, a from (select distinct trim(n) a from (select unnest(from_json(record->'conditions', '["VARCHAR"]')) n from trial_version) where trim(n) <> ''
+ union select w from (select lower(split_part(n, ' ', -1)) w, n from (select distinct trim(n) n from (select unnest(from_json(record->'conditions', '["VARCHAR"]')) n from trial_version)) where contains(n, ' ')) group by w having count(*) > 1)"""
+_ARTICLE_ROWS = "select article_id id, title, abstract, trim(source) source, null::varchar phase, null::varchar status from articles"
+_SQL_NCT = "'NCT' || regexp_extract(upper(nct_id), 'NCT[^0-9A-Z]*([0-9]{8})', 1)"
+_TRIAL_ROWS = f"""select k id, concat_ws('. ', r->>'brief_title', array_to_string(flatten(list_transform(from_json(r->'interventions', '[{{"name":"VARCHAR","other_names":["VARCHAR"]}}]'), lambda i: list_prepend(i.name, coalesce(i.other_names, [])))), '; ')) title,
+ null::varchar abstract, 'clinicaltrials.gov' source, nullif(array_to_string(list_filter(from_json(r->'phases', '["VARCHAR"]'), lambda p: upper(trim(p)) not in ('', 'NA')), '/'), '') phase, upper(regexp_replace(trim(r->>'overall_status'), '[\\s,-]+', '_', 'g')) status
+ from (select {_SQL_NCT} k, arg_max(record, (rpad(regexp_replace(first_seen, '[^0-9]', '', 'g'), 14, '0'), version_id)) r from trial_version group by 1)"""
 _SQL_DOI = "nullif(regexp_replace(lower(trim(coalesce(nullif(trim(published_doi), ''), doi))), '^(?:https?://(?:dx\\.)?doi\\.[a-z]+/|doi:\\s*)', ''), '')"
 _SQL_KEYED = f"with a as (select *, {_SQL_DOI} doi_c from articles), k as (select *, min(article_id) over (partition by doi_c) grp from a where doi_c is not null)"
 _SQL_PRIO = "case source " + " ".join(f"when '{s}' then {p}" for s, p in resolve.PRIORITY.items()) + " else 100 end"
-_SQL_STAGE = "case when trim(source) = 'clinicaltrials.gov' then 'Trial: no phase' when trim(source) = 'Patent' then 'Patent' when regexp_matches(trim(source), '(?i)^(preprint|biorxiv|medrxiv)') then 'Preprint' when trim(source) in ('NIH', 'NSF') then 'Grant' else 'Paper' end"
+_SQL_TOP = "list_max(list_transform(regexp_extract_all(phase, '[0-9]'), lambda x: x::int))"
+_SQL_STAGE = f"case when source = 'clinicaltrials.gov' then case when {_SQL_TOP} is null then 'Trial: no phase' when {_SQL_TOP} <= 1 then 'Trial: phase 1' when {_SQL_TOP} = 2 then 'Trial: phase 2' else 'Trial: phase 3+' end when trim(source) = 'Patent' then 'Patent' when regexp_matches(trim(source), '(?i)^(preprint|biorxiv|medrxiv)') then 'Preprint' when trim(source) in ('NIH', 'NSF') then 'Grant' else 'Paper' end"
 _SQL_SKEY = "case when regexp_matches(trim(source), '(?i)^(preprint|biorxiv|medrxiv)') then 'bioRxiv' else trim(source) end"
 _SQL_REPORT = f"""with a as (select *, {_SQL_SKEY} src, {_SQL_DOI} doi_c from articles),
 c as (select src, count(*) retrieved, max(article_id) total from a group by 1),
@@ -320,14 +355,16 @@ SQL = {
     "resolve_doi_groups": f"select {_SQL_DOI} as doi_c, min(article_id) as grp, count(*) as n from articles where {_SQL_DOI} is not null group by 1 having count(*) > 1",
     "resolve_fill": _SQL_KEYED + ", b as (select grp, arg_max(trim(abstract), (length(trim(abstract)), -article_id)) filter (trim(abstract) <> '') l from k group by 1) select article_id as row_id, grp, length(coalesce(case when trim(abstract) <> '' then trim(abstract) end, l)) as abstract_len from k join b using (grp)",
     "resolve_kept": _SQL_KEYED + f", r as (select *, row_number() over (partition by grp order by {_SQL_PRIO}, abstract is null, publication_date desc nulls last, article_id) rk from k) select grp, max(case when rk = 1 then article_id end) as row_id, string_agg(source || ': ' || article_id, '; ' order by rk) filter (rk > 1) as merged_from from r group by grp",
-    "tag_virus": _sql_tagged(vocabulary.VIRUSES) + " select article_id, tag as primary_virus, hits from tagged",
+    "tag_virus": _sql_tagged(_VIRUS_VOC, _ARTICLE_ROWS) + " select id as article_id, tag as primary_virus, hits from tagged",
+    "tag_conditions": _sql_tagged(_CONDITION_VOC, _ARTICLE_ROWS) + " select id as article_id, tag as primary_condition, placed from tagged",
+    "tag_modality": _sql_tagged(_VIRUS_VOC, _TRIAL_ROWS) + ", front as (select id, max(20 * t + 3 * a) n, arg_max(c, (20 * t + 3 * a, -o)) c from s where c not in ('Parvoviridae', 'Retroviridae') group by id) select tagged.id as nct_id, case when n >= 6 then c else tag end as family from tagged left join front using (id)",
     "tag_override": """with t as (select axp_id id, coalesce(nullif(trim(modality), ''), 'Non-descript') tag from program),
 x as (select axp_id id, unnest(string_split_regex(targets, '\\s*;\\s*')) term, generate_subscripts(string_split_regex(targets, '\\s*;\\s*'), 1) pos from program where targets is not null),
 l as (select transgenes term, nullif(min(virus_family), 'Parvoviridae') category from virus where transgenes is not null group by 1),
 k as (select id, arg_min(category, pos) filter (category is not null) m, arg_min(term, pos) filter (category is null) u from x join l using (term) where term <> '' group by 1)
 select t.id as id, coalesce(m, case when tag = 'Non-descript' then u end, tag) as tag from t left join k using (id)""",
-    "bioinformatics_flag": "select article_id, regexp_matches(regexp_replace(concat_ws(' ', title, abstract), '<[^>]+>', ' ', 'g'), '(?i)\\b(sequencing|modelling|transcriptomics|bioinformatic\\w*)\\b') as flag from articles",
-    "landscape_pivot": _sql_tagged(vocabulary.MODALITIES, f", g as (select tag, {_SQL_STAGE} st from tagged where tag <> 'Non-descript')") + " select tag as therapy, " + ", ".join(f"count(*) filter (st = '{s}') as {s.lower().replace(': ', '_').replace(' ', '_').replace('+', '_up')}" for s in landscape.STAGES) + ", 0 as recruiting, count(*) as total from g group by 1",
+    "bioinformatics_flag": "select article_id, regexp_matches(regexp_replace(concat_ws(' ', coalesce(title, ''), coalesce(abstract, '')), '<[^>]+>', '', 'g'), '(?i)(^|[^A-Za-z0-9])(" + "|".join(n.replace("-", " ").replace(" ", "[\\s\\x{a0}-]+") for n in tagging.COMPUTATIONAL) + ")($|[^A-Za-z0-9])') as flag from articles",
+    "landscape_pivot": _sql_tagged(_VIRUS_VOC, _ARTICLE_ROWS.replace("article_id id", "article_id::varchar id") + " union all " + _TRIAL_ROWS) + f", g as (select tag, {_SQL_STAGE} st, status from tagged where tag <> 'Non-descript')" + " select tag as therapy, " + ", ".join(f"count(*) filter (st = '{s}') as {s.lower().replace(': ', '_').replace(' ', '_').replace('+', '_up')}" for s in landscape.STAGES) + f", count(*) filter (status in ({', '.join(repr(x) for x in landscape.RECRUITING)})) as recruiting, count(*) as total from g group by 1",
     "source_report": _SQL_REPORT + " select * from r",
     "flow_totals": _SQL_REPORT + " select sum(matched) as matched, true as matched_complete, sum(retrieved) as retrieved, greatest(0, sum(retrieved) - (select count(*) from f)) as merged, (select count(*) from f) as unique_n from r",
     "consensus_edges": "select modality, virus_family, count(*) as n, count(distinct vector_role) as n_sources, string_agg(distinct axp_id, ';' order by axp_id) as refs from program join virus using (axp_id) where modality is not null group by 1, 2 having count(distinct vector_role) >= 2",
@@ -356,7 +393,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         term_search_topk, term_search_sources, source_filter, round_robin_page, like_search, normal_records, normal_authors, decoded_titles, title_key_groups, resolve_doi_groups, resolve_fill, resolve_kept, resolve_works,
-        tag_virus, tag_cell_hits, tag_modality, tag_override, bioinformatics_flag, landscape_pivot, source_report, flow_totals, consensus_edges, gap_analysis, agreement_wilson, descriptor_proposals, doi_sets, ragged_union,
+        tag_virus, tag_conditions, tag_modality, tag_override, bioinformatics_flag, landscape_pivot, source_report, flow_totals, consensus_edges, gap_analysis, agreement_wilson, descriptor_proposals, doi_sets, ragged_union,
         upsert_latest, clean_text, safe_html, markdown_titles, publication_dates, date_span, inverted_roundtrip, ris_export, plot_filter,
     )
 }

@@ -121,8 +121,16 @@ def test_new_and_dropped(spark):
 
 
 def test_windows_and_links(spark):
-    assert set(_one(spark, "MRT 11-b", lambda c: registry.window_keys(F.col(c)))) == {"MRT", "MRT11", "MRT11B", "11", "11B", "B"}
-    assert _one(spark, "", lambda c: registry.window_keys(F.col(c))) == []
+    def keys(t):
+        return spark.createDataFrame([(t,)], "t string").select(registry.words_of(F.col("t")).alias("w")).select(registry.window_keys(F.col("w")).alias("k")).head().k
+
+    assert set(keys("MRT 1 1-b")) == {"MRT1", "MRT11", "MRT11B"} and keys("") == [] and len(keys("word " * 3000)) == 8
+    names = spark.createDataFrame([("P", "G47∆", "code", 0), ("P", "KLG-706", "code", 0), ("Q", "ON-01", "code", 0)], "axp_id string, alias string, alias_type string, ambiguous int")
+    texts = spark.createDataFrame([("a", "G47∆ in glioma"), ("b", "ｋｌｇ－７０６"), ("c", "on 01 January"), ("d", "on-01 again"), ("e", "ON 01"), ("f", None), ("g", "On 01 March")], "id string, text string")
+    al = registry.alias_rows(names)
+    assert {(r.id, r.axp_id) for r in registry.text_hits(texts, al).collect()} == {("a", "P"), ("b", "P"), *((x, "Q") for x in "cdeg")}
+    found = registry.field_hits(texts.withColumnRenamed("text", "title"), al, ["title"])
+    assert {(r.id, r.axp_id) for r in found.collect()} == {("a", "P"), ("b", "P"), ("d", "Q"), ("e", "Q")}
     aliases = spark.createDataFrame([("P1", "ABC123", "code", 0), ("P2", "NAMEVEC", "inn", 0), ("P3", "AMBIG", "synonym", 1)], "axp_id string, key string, alias_type string, ambiguous int")
     programs = spark.createDataFrame([("P1", "Acme Pharma Ltd.", None), ("P2", None, None), ("P3", "Candle Therapeutics", None)], "axp_id string, sponsor string, originator string")
     t = spark.createDataFrame([("t1", "a study", "Acme Pharma", [], ["ABC-123"]), ("t2", "Namevec in adults", "X", None, ["placebo ABC 123"]), ("t3", "ambig", "Candle Therapeutics Inc", [], ["ambig plus"]), ("t4", None, None, None, ["AMBIG", None])], "nct_id string, brief_title string, lead_sponsor string, collaborators array<string>, names array<string>")
