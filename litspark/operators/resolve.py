@@ -5,13 +5,18 @@ order if the years agree within one.  Groups get their gaps filled by the longes
 
 The title rule is greedy and depends on row order, but never on rows with another title key: a DOI-less row heads only
 its own group before its turn, and joins happen inside one title key.  So each title key is replayed by itself, and
-only keys with a DOI-less row and a second row take that path at all.
+only keys with a DOI-less row and a second row take that path at all.  Before, the rows with a DOI are reduced to the
+smallest group of each year (no other one can be joined), with a map-side combine; the replay itself takes the DOI-less
+rows in order, in time linear in their number.  Their order is the rule, so those of one title key stay in one task.
+
+Defined results: null, blank and placeholder values are no values; titles shorter than ``MIN_TITLE`` and grants never
+join by title; rows alone in their group have no trail; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litspark.functions import text
@@ -32,21 +37,43 @@ def clean_doi(doi: Column, published: Column) -> Column:
     return F.nullif(F.regexp_replace(d, r"^(?:https?://(?:dx\.)?doi\.[a-z]+/|doi:\s*)", ""), F.lit(""))
 
 
-def replay(grp: list[int], year: list[int | None], orphan: list[bool]) -> list[int]:
-    """The title rule inside one title key: rows in row order, their groups before, their years, and whether they lack a DOI."""
-    grp = list(grp)
-    for i, alone in enumerate(orphan):
-        if not alone:
-            continue
-        fits = [j for j in range(len(grp)) if j != i and (year[i] is None or year[j] is None or abs(year[j] - year[i]) <= 1)]
-        if fits:
-            target, mine = grp[min(fits, key=lambda j: (orphan[j], grp[j], j))], grp[i]
-            grp = [target if g == mine else g for g in grp]
-    return grp
-
-
-def _attached(rows: pd.Series) -> pd.Series:
-    return pd.Series([replay([r["grp"] for r in rs], [None if r["yr"] is None or pd.isna(r["yr"]) else int(r["yr"]) for r in rs], [r["orphan"] for r in rs]) for rs in rows])
+def replay(anchors: dict[int | None, int], rows: list[int], years: list[int | None]) -> list[int]:
+    """The title rule inside one title key: the group of each DOI-less row.
+
+    anchors: for each year the smallest group of rows with a DOI; rows: the DOI-less rows in order, each of which heads
+    its own group before its turn; years: their years, or None.
+    """
+    label = dict(zip(rows, rows, strict=True))  # of each group that was ever headed
+    members: dict[int, list[int]] = {r: [r] for r in rows}  # heads that share a label
+    waiting: dict[int | None, list[int]] = {}  # rows before their turn, the next one last
+    for r, y in zip(reversed(rows), reversed(years), strict=True):
+        waiting.setdefault(y, []).append(r)
+    placed: dict[int | None, set[int]] = {y: set() for y in waiting}  # heads of rows after their turn
+    for r, y in zip(rows, years, strict=True):
+        waiting[y].pop()
+        near = {None, *(waiting if y is None else (y - 1, y, y + 1))}
+        fixed = [g for k, g in anchors.items() if y is None or k is None or abs(k - y) <= 1]
+        if fixed:
+            target = min(fixed)
+        else:
+            others = [label[w] for k in near if k in waiting for w in waiting[k][-1:]]
+            others += [label[h] for k in near if k in placed for h in placed[k]]
+            target = min(others, default=label[r])
+        old = label[r]
+        if target != old:
+            # all that share its label move along
+            for h in members.pop(old):
+                label[h] = target
+                members.setdefault(target, []).append(h)
+        placed[y].add(r)
+        # of rows with one label one is enough
+        placed[y] = set({label[h]: h for h in placed[y]}.values())
+    return [label[r] for r in rows]
+
+
+def _attached(anchors: pd.Series, rows: pd.Series) -> pd.Series:
+    whole = lambda y: None if y is None or pd.isna(y) else int(y)
+    return pd.Series([replay({whole(x["yr"]): x["grp"] for x in a}, [x["row_id"] for x in rs], [whole(x["yr"]) for x in rs]) for a, rs in zip(anchors, rows, strict=True)])
 
 
 def grouped(df: DataFrame) -> DataFrame:
@@ -59,35 +86,67 @@ def grouped(df: DataFrame) -> DataFrame:
     by_grant = base.where("grant and grant_id <> ''").groupBy("source", "grant_id").agg(F.min("grp").alias("g2"))
     base = base.join(by_grant, ["source", "grant_id"], "left").withColumn("grp", F.coalesce("g2", "grp"))
     eligible = base.where(~F.col("grant") & (F.length("tkey") >= MIN_TITLE)).select("row_id", "tkey", "yr", "grp", F.col("doi_c").isNull().alias("orphan"))
-    needed = eligible.groupBy("tkey").agg(F.count("*").alias("n"), F.max("orphan").alias("any")).where("n > 1 and any").select("tkey")
-    lists = eligible.join(needed, "tkey", "left_semi").groupBy("tkey").agg(F.sort_array(F.collect_list(F.struct("row_id", "grp", "yr", "orphan"))).alias("rs"))
-    moved = lists.select("rs", F.pandas_udf(_attached, "array<long>")("rs").alias("gs")).select(F.explode(F.arrays_zip("rs", "gs")).alias("z"))
+    # of the rows with a DOI only the smallest group of each year can be joined
+    anchors = eligible.where("not orphan").groupBy("tkey", "yr").agg(F.min("grp").alias("grp")).groupBy("tkey").agg(F.collect_list(F.struct("yr", "grp")).alias("anchors"))
+    orphans = eligible.where("orphan").groupBy("tkey").agg(F.sort_array(F.collect_list(F.struct("row_id", "yr"))).alias("rs"))
+    nothing = F.array().cast("array<struct<yr:int,grp:bigint>>")
+    lists = orphans.join(anchors, "tkey", "left").select("rs", F.coalesce("anchors", nothing).alias("anchors")).where("size(rs) + size(anchors) > 1")
+    moved = lists.select("rs", F.pandas_udf(_attached, "array<long>")("anchors", "rs").alias("gs")).select(F.explode(F.arrays_zip("rs", "gs")).alias("z"))
     attached = moved.select(F.col("z.rs.row_id").alias("row_id"), F.col("z.gs").alias("grp"))
     out = base.join(attached.withColumnRenamed("grp", "g3"), "row_id", "left").withColumn("grp", F.coalesce("g3", "grp"))
     return out.drop("g1", "g2", "g3", "tkey", "yr", "grant", "doi_c")
 
 
+NO_VALUE = ("", "NA", "NULL", "No abstract available")
+
+
+def real(c: str) -> Column:
+    """The value without outer blanks, or null where it stands for nothing."""
+    t = F.trim(F.col(c))
+    return F.when(~t.isin(*NO_VALUE), t)
+
+
 def filled(df: DataFrame, columns: list[str]) -> DataFrame:
     """Gaps of each column filled within the group by its longest value (the first row's on a tie)."""
-    longest = [F.max_by(F.trim(c), F.when(F.trim(c) != "", F.struct(F.length(F.trim(c)), -F.col("row_id")))).alias(f"fill_{c}") for c in columns]
+    longest = [F.max(F.when(real(c).isNotNull(), F.struct(F.length(real(c)).alias("n"), (-F.col("row_id")).alias("r"), real(c).alias("v"))))["v"].alias(f"fill_{c}") for c in columns]
     best = df.groupBy("grp").agg(*longest)
     joined = df.join(best, "grp")
     for c in columns:
-        joined = joined.withColumn(c, F.coalesce(F.nullif(F.trim(c), F.lit("")), f"fill_{c}")).drop(f"fill_{c}")
+        joined = joined.withColumn(c, F.coalesce(real(c), F.col(f"fill_{c}"))).drop(f"fill_{c}")
     return joined
 
 
+def record_ref(source: Column, ids: list[Column], title: Column) -> Column:
+    """``Source: id``, with the first id there is, else the begin of the title."""
+    return F.concat_ws(": ", source, F.coalesce(*[F.nullif(F.trim(i.cast("string")), F.lit("")) for i in ids], F.substring(title, 1, 60)))
+
+
 def kept(df: DataFrame, reference: Column) -> DataFrame:
-    """One row per group, by priority, abstract, latest date and row; merged_from lists the others in that order."""
-    order = F.struct(priority(F.col("source")).alias("p"), F.col("abstract").isNull().alias("na"), F.col("publication_date").isNull().alias("nd"), F.col("publication_date").alias("d"), F.col("row_id").alias("r"))
-    ranked = F.row_number().over(Window.partitionBy("grp").orderBy("o.p", "o.na", "o.nd", F.desc("o.d"), "o.r"))
-    rows = df.withColumn("o", order).withColumn("rk", ranked).withColumn("ref", reference)
-    trail = rows.where("rk > 1").groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("rk", "ref"))).alias("l"))
-    names = F.array_join(F.transform("l", lambda x: x["ref"]), "; ")
-    return rows.where("rk = 1").drop("o", "rk", "ref").join(trail.select("grp", names.alias("merged_from")), "grp", "left")
+    """One row per group, by priority, abstract, latest date and row; merged_from lists the others in that order.
+
+    The survivor is a minimum over small structs (combined map-side) and is fetched by its row id; only rank and
+    reference of the others travel.
+    """
+    # dates are compared as texts, the latest first: characters upside down
+    later = F.transform(F.split(F.coalesce("publication_date", F.lit("")), ""), lambda ch: -F.ascii(ch))
+    rank = F.struct(priority(F.col("source")).alias("p"), F.col("abstract").isNull().alias("na"), F.col("publication_date").isNull().alias("nd"), F.concat(later, F.array(F.lit(1))).alias("d"), F.col("row_id").alias("r"))
+    ranked = df.select("grp", rank.alias("o"), reference.alias("ref"))
+    best = ranked.groupBy("grp").agg(F.min("o")["r"].alias("row_id"), F.count("*").alias("n"))
+    several = ranked.join(best.where("n > 1").select("grp", F.col("row_id").alias("first_id")), "grp").where("o.r <> first_id")
+    trail = several.groupBy("grp").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o", "ref"))), lambda x: x["ref"]), "; ").alias("merged_from"))
+    return df.join(best.select("row_id"), "row_id", "left_semi").join(trail, "grp", "left")
+
+
+def verification(before: DataFrame, after: DataFrame) -> DataFrame:
+    """source, total_records, unique_records, removed per source, the largest first, and a TOTAL row."""
+    counts = before.groupBy("source").agg(F.count("*").alias("total_records")).join(after.groupBy("source").agg(F.count("*").alias("u")), "source", "left")
+    rows = counts.select("source", "total_records", F.coalesce("u", F.lit(0)).alias("unique_records"))
+    total = rows.agg(F.lit("TOTAL").alias("source"), F.sum("total_records").alias("total_records"), F.sum("unique_records").alias("unique_records"))
+    every = rows.withColumn("last", F.lit(0)).unionByName(total.withColumn("last", F.lit(1)))
+    return every.withColumn("removed", F.col("total_records") - F.col("unique_records")).orderBy("last", F.desc("total_records"), "source").drop("last")
 
 
 def distinct_first(df: DataFrame, keys: list[str], order_by: str) -> DataFrame:
-    """The first row of each combination of keys, nulls being equal."""
-    w = Window.partitionBy(*keys).orderBy(order_by)
-    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    """The first row of each combination of keys, nulls being equal; order_by is unique."""
+    first = df.groupBy(*keys).agg(F.min(order_by).alias(order_by)).select(order_by)
+    return df.join(first, order_by, "left_semi")

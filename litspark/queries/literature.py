@@ -63,7 +63,19 @@ def title_key_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "articles").select(F.col("article_id").alias("row_id"), "source", "doi", "published_doi", "title", "abstract", "publication_date", F.lit(None).cast("string").alias("grant_id"))
+    """articles as records to resolve; PubMed ids come from the papers of the same DOI, grants have no id of their own here."""
+    doi = lambda c: F.nullif(F.lower(F.trim(c)), F.lit(""))
+    p = table(spark, d, "paper").where("trim(doi) <> ''").groupBy(doi("doi").alias("d")).agg(F.min("pmid").alias("pmid"), F.min("pmcid").alias("pmcid"))
+    a = table(spark, d, "articles").select(F.col("article_id").alias("row_id"), "source", "doi", "published_doi", "title", "abstract", "publication_date", F.lit(None).cast("string").alias("grant_id"), F.col("is_open_access").cast("string").alias("is_open_access"))
+    return a.join(p, doi("doi") == F.col("d"), "left").drop("d")
+
+
+FILLED = ["abstract", "pmcid", "pmid", "is_open_access"]
+
+
+def _grouped_by_doi(spark: SparkSession, d: str) -> DataFrame:
+    a = _rows(spark, d).withColumn("doi_c", resolve.clean_doi(F.col("doi"), F.col("published_doi"))).where("doi_c is not null")
+    return a.join(a.groupBy("doi_c").agg(F.min("row_id").alias("grp")), "doi_c")
 
 
 def resolve_doi_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -73,23 +85,29 @@ def resolve_doi_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def resolve_fill(spark: SparkSession, d: str) -> DataFrame:
-    """Abstracts filled within DOI groups by the longest one."""
-    a = _rows(spark, d).withColumn("doi_c", resolve.clean_doi(F.col("doi"), F.col("published_doi"))).where("doi_c is not null")
-    a = a.join(a.groupBy("doi_c").agg(F.min("row_id").alias("grp")), "doi_c")
-    return resolve.filled(a, ["abstract"]).select("row_id", "grp", F.length("abstract").alias("abstract_len"))
+    """Four fields filled within DOI groups by the longest value."""
+    return resolve.filled(_grouped_by_doi(spark, d), FILLED).select("row_id", "grp", F.length("abstract").alias("abstract_len"), "pmcid", "pmid", "is_open_access")
 
 
 def resolve_kept(spark: SparkSession, d: str) -> DataFrame:
     """The surviving record of each DOI group and what was merged into it."""
-    a = _rows(spark, d).withColumn("doi_c", resolve.clean_doi(F.col("doi"), F.col("published_doi"))).where("doi_c is not null")
-    a = a.join(a.groupBy("doi_c").agg(F.min("row_id").alias("grp")), "doi_c")
-    return resolve.kept(a, F.concat_ws(": ", "source", F.col("row_id").cast("string"))).select("grp", "row_id", "merged_from")
+    return resolve.kept(_grouped_by_doi(spark, d), resolve.record_ref(F.col("source"), [F.col("row_id")], F.col("title"))).select("grp", "row_id", "merged_from")
+
+
+def _works(spark: SparkSession, d: str) -> DataFrame:
+    full = resolve.filled(resolve.grouped(_rows(spark, d)), FILLED)
+    kept = resolve.kept(full, resolve.record_ref(F.col("source"), [F.col("doi"), F.col("pmid"), F.col("grant_id")], F.col("title")))
+    return resolve.distinct_first(kept, ["doi", "title"], "row_id")
 
 
 def resolve_works(spark: SparkSession, d: str) -> DataFrame:
     """All rules, the title rule included, then one record per DOI and title."""
-    kept = resolve.kept(resolve.filled(resolve.grouped(_rows(spark, d)), ["abstract"]), F.concat_ws(": ", "source", F.coalesce("doi", F.substring("title", 1, 60))))
-    return resolve.distinct_first(kept, ["doi", "title"], "row_id").select("row_id", "grp", "source", "doi", "title", "merged_from")
+    return _works(spark, d).select("row_id", "grp", "source", "doi", "title", "merged_from")
+
+
+def resolve_verified(spark: SparkSession, d: str) -> DataFrame:
+    """A3: per source the records before and after, and a total."""
+    return resolve.verification(table(spark, d, "articles").select("source"), _works(spark, d).select("source"))
 
 
 _TEXTS = "title", "abstract"
@@ -353,7 +371,9 @@ SQL = {
     "normal_authors": "select article_id, regexp_replace(regexp_replace(trim(authors), '\\s*[;|]+\\s*(?:[;|]\\s*)*', '; ', 'g'), '^[;\\s]+|[;\\s]+$', '', 'g') as authors from articles",
     "title_key_groups": "select tkey, count(*) as n from (select nullif(regexp_replace(regexp_replace(regexp_replace(lower(title), '<[^>]+>', ' ', 'g'), '&[a-z#0-9]+;', ' ', 'g'), '[^\\pL\\pN]+', '', 'g'), '') tkey from articles) where tkey is not null group by 1 having count(*) > 1",
     "resolve_doi_groups": f"select {_SQL_DOI} as doi_c, min(article_id) as grp, count(*) as n from articles where {_SQL_DOI} is not null group by 1 having count(*) > 1",
-    "resolve_fill": _SQL_KEYED + ", b as (select grp, arg_max(trim(abstract), (length(trim(abstract)), -article_id)) filter (trim(abstract) <> '') l from k group by 1) select article_id as row_id, grp, length(coalesce(case when trim(abstract) <> '' then trim(abstract) end, l)) as abstract_len from k join b using (grp)",
+    "resolve_fill": f"with p as (select lower(trim(doi)) d, min(pmid) pm, min(pmcid) pc from paper where trim(doi) <> '' group by 1), q as (select *, {_SQL_DOI} doi_c, lower(trim(doi)) d from articles), a as (select q.*, pm, pc from q left join p using (d)),"
+    " k as (select *, min(article_id) over (partition by doi_c) grp, case when trim(abstract) not in ('', 'NA', 'NULL', 'No abstract available') then trim(abstract) end ab, is_open_access::varchar oa from a where doi_c is not null),"
+    " b as (select grp, arg_max(ab, (length(ab), -article_id)) filter (ab is not null) l, arg_max(pm, (length(pm), -article_id)) filter (pm is not null) pm1, arg_max(pc, (length(pc), -article_id)) filter (pc is not null) pc1, arg_max(oa, (length(oa), -article_id)) filter (oa is not null) oa1 from k group by 1) select article_id as row_id, grp, length(coalesce(ab, l)) as abstract_len, coalesce(pc, pc1) as pmcid, coalesce(pm, pm1) as pmid, coalesce(oa, oa1) as is_open_access from k join b using (grp)",
     "resolve_kept": _SQL_KEYED + f", r as (select *, row_number() over (partition by grp order by {_SQL_PRIO}, abstract is null, publication_date desc nulls last, article_id) rk from k) select grp, max(case when rk = 1 then article_id end) as row_id, string_agg(source || ': ' || article_id, '; ' order by rk) filter (rk > 1) as merged_from from r group by grp",
     "tag_virus": _sql_tagged(_VIRUS_VOC, _ARTICLE_ROWS) + " select id as article_id, tag as primary_virus, hits from tagged",
     "tag_conditions": _sql_tagged(_CONDITION_VOC, _ARTICLE_ROWS) + " select id as article_id, tag as primary_condition, placed from tagged",
@@ -392,7 +412,7 @@ select source, tagged, supported, conflict, unsupported, missed, both_none, roun
 QUERIES = {
     f.__name__: f
     for f in (
-        term_search_topk, term_search_sources, source_filter, round_robin_page, like_search, normal_records, normal_authors, decoded_titles, title_key_groups, resolve_doi_groups, resolve_fill, resolve_kept, resolve_works,
+        term_search_topk, term_search_sources, source_filter, round_robin_page, like_search, normal_records, normal_authors, decoded_titles, title_key_groups, resolve_doi_groups, resolve_fill, resolve_kept, resolve_works, resolve_verified,
         tag_virus, tag_conditions, tag_modality, tag_override, bioinformatics_flag, landscape_pivot, source_report, flow_totals, consensus_edges, gap_analysis, agreement_wilson, descriptor_proposals, doi_sets, ragged_union,
         upsert_latest, clean_text, safe_html, markdown_titles, publication_dates, date_span, inverted_roundtrip, ris_export, plot_filter,
     )
