@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The formatting tags that survive cleaning, and the entities that are decoded by plain replacement.
@@ -190,3 +190,47 @@ def alias_key(c: Column | str) -> Column:
     """A name reduced to its letters and digits in capitals; only names beyond ASCII leave the JVM."""
     t = _c(c)
     return F.when(t.rlike(r"^[\x00-\x7F]*$"), F.regexp_replace(F.upper(t), "[^A-Z0-9]", "")).otherwise(F.pandas_udf(_nfkc_key, "string")(t))
+
+
+def split_terms(c: Column | str) -> Column:
+    """The parts of a text between semicolons, trimmed, without empty ones."""
+    return F.filter(F.transform(F.split(F.coalesce(_c(c), F.lit("")), ";"), lambda t: F.trim(t)), lambda t: t != "")
+
+
+def plural(n: Column, one: str, many: str | None = None) -> Column:
+    """``1 trial``, ``2 trials``."""
+    return F.concat(F.format_number(n, 0), F.when(n == 1, F.lit(f" {one}")).otherwise(F.lit(f" {many or one + 's'}")))
+
+
+def session_hash(c: Column | str, salt: str = "") -> Column:
+    """A session id that does not lead back to the client: the first 16 digits of a salted digest."""
+    return F.substring(F.sha2(F.concat(F.lit(salt), _c(c)), 256), 1, 16)
+
+
+def log_time(c: Column | str) -> Column:
+    """A log's time stamp: ISO with or without zone, or with a zone's name behind it, which is dropped."""
+    t = F.trim(_c(c))
+    bare = F.regexp_replace(F.replace(t, F.lit("T"), F.lit(" ")), r"\s*(?:Z|[A-Z]{2,5})$", "")
+    return F.try_to_timestamp(bare)
+
+
+def truncated_text(c: Column | str, n: int) -> Column:
+    """struct(text, total_chars, truncated): the readable text cut to n characters and marked, and the length before."""
+    raw, plain = _c(c), strip_invisible(c)
+    long = F.length(plain) > n
+    return F.struct(F.when(long, F.concat(F.substring(plain, 1, n), F.lit("\n[truncated]"))).otherwise(plain).alias("text"), F.length(raw).alias("total_chars"), long.alias("truncated"))
+
+
+def coverage_item(source: Column, retrieved: Column, total: Column, status: Column) -> Column:
+    """How much of a source was seen: ``EPMC: 50 of 1,234``, ``CORE: no response``."""
+    seen = F.format_number(retrieved, 0)
+    of = F.when(total > retrieved, F.concat(F.lit(" of "), F.format_number(total, 0))).otherwise("")
+    return F.concat(source, F.lit(": "), F.when(status == "failed", "no response").otherwise(F.concat(seen, of, F.when(status == "partial", " (stopped early)").otherwise(""))))
+
+
+POLICIES = {"url": sanitize_url, "doi": lambda c: F.when(_c(c).rlike(r"^10\.[0-9]{4,9}/[^\s\"'<>`]+$"), _c(c)), "text": lambda c: sanitize_html(strip_invisible(c)), "json": lambda c: F.when(F.try_parse_json(_c(c)).isNotNull(), F.replace(_c(c), F.lit("<"), F.lit("\\u003c")))}
+
+
+def sanitized(df: DataFrame, policies: dict[str, str]) -> DataFrame:
+    """Each named column under its policy (url, doi, text or json); a value that does not pass becomes null, other columns stay."""
+    return df.withColumns({c: POLICIES[p](c) for c, p in policies.items() if c in df.columns})

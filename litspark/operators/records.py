@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -49,3 +50,24 @@ def status_rows(counts: DataFrame) -> DataFrame:
     """source, retrieved, total, status of each source: failed sources that returned something are partial."""
     status = F.when(~F.col("failed"), "ok").when(F.col("retrieved") > 0, "partial").otherwise("failed")
     return counts.select("source", "retrieved", "total", status.alias("status"))
+
+
+def with_fallback_id(df: DataFrame, id_column: str, order: list[str], prefix: str = "unknown_id_") -> DataFrame:
+    """Rows without an id get one from their place among them; the order must be total."""
+    missing = F.col(id_column).isNull() | (F.trim(id_column) == "")
+    place = F.row_number().over(Window.orderBy(*order))
+    named = df.where(missing).withColumn(id_column, F.concat(F.lit(prefix), place.cast("string")))
+    return df.where(~missing).unionByName(named)
+
+
+def grown_vocabulary(known: DataFrame, seen: DataFrame, column: str) -> DataFrame:
+    """The union of known and newly seen values, each once."""
+    return known.select(column).unionByName(seen.select(column)).where(F.trim(column) != "").distinct()
+
+
+def release_name(date: str, inputs: dict[str, bytes]) -> str:
+    """A release: its date and twelve digits of a digest of all inputs, whatever their order."""
+    digest = hashlib.sha256()
+    for name in sorted(inputs):
+        digest.update(name.encode() + b"\0" + hashlib.sha256(inputs[name]).digest())
+    return f"{date}-{digest.hexdigest()[:12]}"

@@ -136,7 +136,7 @@ def descriptor_categories(mesh: DataFrame, vocabularies: dict[str, Vocabulary])
 
 def major_or_all(df: DataFrame, record_id: str, major: str, every: str, denied: list[str]) -> DataFrame:
     """id, pos, term: a record's major descriptors, or all of them where it has none; denied ones never count."""
-    terms = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), F.trim), lambda t: t != "")
+    terms = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), lambda t: F.trim(t)), lambda t: t != "")
     chosen = F.when(F.size(terms(major)) > 0, terms(major)).otherwise(terms(every))
     return df.select(F.col(record_id).alias("id"), F.posexplode(chosen).alias("pos", "term")).where(~F.col("term").isin(*denied)) if denied else df.select(F.col(record_id).alias("id"), F.posexplode(chosen).alias("pos", "term"))
 

@@ -88,3 +88,10 @@ def new_and_dropped(present: DataFrame, snapshots: DataFrame, posted: DataFrame)
     fresh = fresh.where(day(F.col("first_post_date")) >= F.date_sub(F.col("prev").cast("date"), NEW_DAYS)).select("nct_id", "snapshot_date", F.lit("new").alias("change_type"))
     gone = now.where("next is not null and complete = 1 and next_ok = 1").join(keys, (F.col("next") == F.col("d")) & (F.col("nct_id") == F.col("n")), "left_anti")
     return fresh.unionByName(gone.select("nct_id", F.col("next").alias("snapshot_date"), F.lit("dropped").alias("change_type")))
+
+
+def without_contacts(study: Column) -> Column:
+    """A nested study record without its contacts, the central ones and those of each place."""
+    m = "protocolSection.contactsLocationsModule"
+    places = F.transform(study[m.split(".")[0]][m.split(".")[1]]["locations"], lambda x: x.dropFields("contacts"))
+    return study.dropFields(f"{m}.centralContacts").withField(f"{m}.locations", places)

@@ -425,7 +425,7 @@ def log_recent(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_daily(spark: SparkSession, d: str) -> DataFrame:
     """Streaming: events per day and type."""
-    return streams.drain(streams.daily_counts(streams.read_stream(spark, d, "events"), "event_type"))
+    return streams.drain(streams.daily_counts(streams.read_stream(spark, d, "events"), "event_type"), "update", ["day", "event_type"])
 
 
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
@@ -435,7 +435,17 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_rate(spark: SparkSession, d: str) -> DataFrame:
     """Streaming: events per sliding minute and type, the busiest windows."""
-    return streams.drain(streams.sliding_rate(streams.read_stream(spark, d, "events"), "event_type")).groupBy("event_type").agg(F.max("n").alias("peak"))
+    return streams.drain(streams.sliding_rate(streams.read_stream(spark, d, "events"), "event_type"), "update", ["started", "event_type"]).groupBy("event_type").agg(F.max("n").alias("peak"))
+
+
+def stream_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Streaming: change events of trial versions, the last version of each trial being the state."""
+    v = streams.read_stream(spark, d, "trial_version").select(ids.nct_id("nct_id").alias("nct_id"), ids.date_digits("first_seen").alias("seen"), F.col("version_id").alias("vid"), trials.canonical(F.from_json("record", trials.RECORD)).alias("rec"))
+    kind = v.schema["rec"].dataType
+    pairs = streams.version_pairs(v.withColumn("rec", F.to_json("rec", {"ignoreNullFields": "false"})))
+    typed = streams.drain(pairs, "append").withColumn("old", F.from_json("old", kind)).withColumn("new", F.from_json("new", kind))
+    rows = typed.select("nct_id", "seen", "vid", F.explode(trials.events(F.col("old"), F.col("new"))).alias("e"))
+    return rows.select(F.concat_ws("-", "nct_id", "vid", "e.change_type").alias("event_id"), "nct_id", "e.change_type", "e.significance", "e.before", "e.after")
 
 
 def condition_categories(spark: SparkSession, d: str) -> DataFrame:
@@ -660,6 +670,8 @@ union all select 'virus_without_program', axp_id from virus where axp_id not in
     "log_quality": "select count(*) as searches, count(*) filter (value < 5) as empty, round(100 * avg((value < 5)::int), 1) as empty_pct, round(quantile_cont(value, 0.5), 2) as median_seconds, round(quantile_cont(value, 0.9), 2) as p90_seconds from events where event_type = 'view'",
     "log_sources": "with u as (select 'EPMC' source, (user_id % 5)::double n from events union all select 'CORE', (props->>'k')::double from events) select source, count(*) as searches_present, count(*) filter (n = 0) as zero_results, round(median(n), 4) as median_records, round(sum(n), 4) as total_records from u group by 1",
     "log_recent": "select event_type, count(*) as n from events where ts >= (select max(ts) from events) - interval 30 day group by 1",
+    "stream_changes": f"with {_EVENTS} select event_id, nct_id, change_type, significance, before, after from evs",
+    "stream_rate": "with e as (select event_type, epoch(ts)::bigint // 15 q from events), w as (select event_type, q - o as q0 from e, range(0, 4) r(o)) select event_type, max(n) as peak from (select event_type, q0, count(*) n from w group by 1, 2) group by 1",
     "stream_daily": "select ts::date as day, event_type, count(*) as n from events group by 1, 2",
     "stream_sessions": """with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end b from events), s as (select *, sum(b) over (partition by user_id order by ts rows unbounded preceding) sid from g) select user_id, min(ts) as started, count(*) as n from s group by user_id, sid""",
 }
@@ -670,6 +682,6 @@ QUERIES = {
         event_programs, change_feed_vaccines, grant_links, paper_kinds, resolved_names, result_chips, program_summary, program_graph_links, link_review,
         change_events, status_changes, change_feed, content_hashes, unseen_versions, observed_versions, matched_queries, first_seen, new_dropped, snapshot_status, trials_tried, phase_histogram, interventions, date_labels,
         cited_papers, alias_keys, alias_keys_wide, window_hits, evidence_links, trial_links, intervention_links, intervention_links_wide, program_survivors, registry_totals, program_names, grouped_listing, disease_view, indication_groups, program_graph,
-        program_cards, dq_violations, taxon_deepest, grant_rollup, log_daily, log_clients, log_quality, log_sources, log_recent, stream_daily, stream_sessions, stream_rate, condition_categories, text_references, clean_proposals, query_members, modality_trials, modality_trials_wide, snapshot_pairs, weekly_digest, searchable_programs,
+        program_cards, dq_violations, taxon_deepest, grant_rollup, log_daily, log_clients, log_quality, log_sources, log_recent, stream_daily, stream_sessions, stream_rate, stream_changes, condition_categories, text_references, clean_proposals, query_members, modality_trials, modality_trials_wide, snapshot_pairs, weekly_digest, searchable_programs,
     )
 }

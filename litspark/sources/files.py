@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from xml.etree import ElementTree
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -68,10 +69,37 @@ def read_all(spark: SparkSession, sources: list[FileSource]) -> tuple[dict[str,
     return plans, spark.createDataFrame(status, "source string, status string, error string")
 
 
+def _sections(xml: str | None) -> list[dict[str, str | None]]:
+    if not xml:
+        return []
+    try:
+        root = ElementTree.fromstring(xml)
+    except ElementTree.ParseError:
+        return []
+    body = root if root.tag.rpartition("}")[2] == "body" else next((e for e in root.iter() if e.tag.rpartition("}")[2] == "body"), None)
+    if body is None:
+        return []
+    plain = lambda e: " ".join("".join(e.itertext()).split())
+    named = lambda e, name: [c for c in e if isinstance(c.tag, str) and c.tag.rpartition("}")[2] == name]
+    out = []
+    for sec in (e for e in body.iter() if isinstance(e.tag, str) and e.tag.rpartition("}")[2] == "sec"):
+        own = " ".join(plain(p) for p in named(sec, "p"))
+        if own:
+            out.append({"title": next((plain(t) for t in named(sec, "title")), None), "text": own})
+    return out or ([{"title": None, "text": whole}] if (whole := plain(body)) else [])
+
+
 def jats_sections(df: DataFrame, xml: str) -> DataFrame:
-    """df with ``sections``: (title, text) of every section of an article body, its own paragraphs only; the whole body if there are none."""
-    titles = F.expr(f"xpath({xml}, '//body//sec/title/text()')")
-    paragraphs = F.expr(f"xpath({xml}, '//body//sec/p//text()')")
-    body = F.expr(f"array_join(xpath({xml}, '//body//text()'), ' ')")
-    text = F.when(F.size(paragraphs) > 0, F.array_join(paragraphs, " ")).otherwise(body)
-    return df.withColumn("section_titles", titles).withColumn("body_text", F.trim(F.regexp_replace(text, r"\s+", " ")))
+    """df with ``sections``: (title, text) of every section of an article body, its own paragraphs only; the whole body if there are none, an empty list where it can't be read."""
+    return df.withColumn("sections", F.pandas_udf(lambda s: s.map(_sections), "array<struct<title:string,text:string>>")(xml))
+
+
+def sectioned_text(sections: Column) -> Column:
+    """Sections in one text, each under its title."""
+    return F.array_join(F.transform(sections, lambda s: F.concat(F.when(s["title"].isNotNull(), F.concat(F.lit("--- "), s["title"], F.lit(" ---\n"))).otherwise(""), s["text"])), "\n\n")
+
+
+def verified_import(spark: SparkSession, path: str, schema: StructType | str, digest: Column, stored: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, mismatches) of JSON lines, packed or not: rows whose digest, computed anew, is the stored one, and the others."""
+    df = spark.read.schema(schema).option("recursiveFileLookup", "true").json(path).withColumn("__same", F.coalesce(digest == F.lower(F.col(stored)), F.lit(False)))
+    return df.where("__same").drop("__same"), df.where("not __same").drop("__same")

@@ -1,6 +1,7 @@
 """Behaviour of the record, resolution, tagging, registry, trial, log and stream operators on small invented frames."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -246,3 +247,24 @@ def test_names_beyond_ascii_give_links(spark, tmp_path):
     assert len(brute) == 3 and narrow | wide == brute and not narrow & wide and len(wide) == 2
     assert rows(queries.modality_trials) | rows(queries.modality_trials_wide) == {(n,) for n, _ in brute}
     assert {r.axp_id: r.n_trials for r in queries.program_cards(spark, str(tmp_path)).collect()} == {a: 1 for a, _ in alias}
+
+
+def test_late_rows_and_updates(spark, tmp_path):
+    folder = tmp_path / "t"
+    batches = [[("a", "2026-01-01 10:00:00")] * 3, [("a", "2026-01-01 11:00:00"), ("a", "2026-01-03 10:00:00")], [("a", "2026-01-01 12:00:00"), ("b", "2026-01-03 11:00:00")]]
+    for rows in batches:
+        spark.createDataFrame(rows, "k string, t string").select("k", F.col("t").cast("timestamp_ntz").alias("ts")).coalesce(1).write.mode("append").parquet(str(folder / "e.parquet"))
+        time.sleep(1.1)  # files are taken by the time they were written
+    stream = streams.read_stream(spark, str(folder), "e", files_per_trigger=1)
+    out = {(str(r.day), r.k): r.n for r in streams.drain(streams.daily_counts(stream, "k"), "update", ["day", "k"]).collect()}
+    # the last row of the first day comes more than an hour after the watermark has passed that day
+    assert out == {("2026-01-01", "a"): 4, ("2026-01-03", "a"): 1, ("2026-01-03", "b"): 1}
+
+
+def test_version_pairs_across_batches(spark, tmp_path):
+    folder = tmp_path / "v"
+    for rows in ([("n", "1", 1, "x"), ("n", "2", 2, "x"), ("m", "1", 3, "p")], [("n", "3", 4, "y"), (None, "1", 5, "z")], [("n", "2", 9, "late"), ("m", "2", 6, "q"), ("m", "3", 7, "p")]):
+        spark.createDataFrame(rows, "nct_id string, seen string, vid long, rec string").coalesce(1).write.mode("append").parquet(str(folder / "t.parquet"))
+        time.sleep(1.1)
+    pairs = streams.drain(streams.version_pairs(streams.read_stream(spark, str(folder), "t", files_per_trigger=1)), "append")
+    assert {(r.nct_id, r.vid, r.old, r.new) for r in pairs.collect()} == {("n", 4, "x", "y"), ("m", 6, "p", "q"), ("m", 7, "q", "p")}
