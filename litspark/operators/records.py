@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from litspark.functions import text
+from litspark.session import cut, shuffle_partitions
 
 
 def conform(df: DataFrame, schema: StructType) -> DataFrame:
@@ -28,12 +29,22 @@ def conform(df: DataFrame, schema: StructType) -> DataFrame:
 
 
 def union_sources(sources: dict[str, DataFrame], order_by: str) -> DataFrame:
-    """Ragged union with source, source_ord and row_id (place by source, then by order_by within the source)."""
+    """Ragged union with source, source_ord and row_id (place by source, then by order_by, which is unique, within the source).
+
+    What is broadcast is one row for each source and task.
+    """
     parts = [df.withColumn("source", F.lit(n)).withColumn("source_ord", F.lit(i)) for i, (n, df) in enumerate(sources.items())]
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    # a rank within the source is a sort per source; the pair (source_ord, place) orders like a running number
-    place = F.row_number().over(Window.partitionBy("source_ord").orderBy(order_by))
-    return union.withColumn("row_id", F.col("source_ord").cast("long") * (1 << 40) + place)
+    # ranges split a large source over many tasks; a range's places begin where those of the ranges before it end
+    spark = union.sparkSession
+    ranged = cut(union.repartitionByRange(shuffle_partitions(spark), "source_ord", order_by).sortWithinPartitions("source_ord", order_by).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    sizes = ranged.groupBy("source_ord", part.alias("__part")).agg(F.count("*").alias("n"), F.min("__at").alias("__first"))
+    before = F.sum("n").over(Window.partitionBy("source_ord").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("source_ord", "__part", "__first", F.coalesce(before, F.lit(0)).alias("__before"))
+    placed = ranged.withColumn("__part", part).join(F.broadcast(starts), ["source_ord", "__part"])
+    row_id = F.col("source_ord").cast("long") * (1 << 40) + F.col("__at") - F.col("__first") + F.col("__before") + 1
+    return placed.withColumn("row_id", row_id).drop("__at", "__part", "__first", "__before")
 
 
 def normalised(df: DataFrame) -> DataFrame:

@@ -41,9 +41,12 @@ def from_sources(df: DataFrame, wanted: list[str], column: str = "source") -> Da
 
 
 def round_robin(df: DataFrame, source: str, order: list[Column], offset: int, limit: int) -> DataFrame:
-    """One page of the first of each source, then the second of each, and so on."""
+    """One page of the first of each source, then the second of each, and so on.
+
+    No turn beyond the page's end can lie on it, so each task keeps that many rows of a source before the shuffle.
+    """
     turn = F.row_number().over(Window.partitionBy(source).orderBy(*order))
-    return df.withColumn("turn", turn).orderBy("turn", *order).offset(offset).limit(limit)
+    return df.withColumn("turn", turn).where(F.col("turn") <= offset + limit).orderBy("turn", *order).offset(offset).limit(limit)
 
 
 def newest(df: DataFrame, date: str, tie: str, limit: int) -> DataFrame:

@@ -68,11 +68,17 @@ def events(old: Column, new: Column) -> Column:
 
 
 def changes(versions: DataFrame) -> DataFrame:
-    """Events between consecutive versions of each trial whose content differs.  versions: nct_id, seen, vid, rec (canonical)."""
+    """Events between consecutive versions of each trial whose content differs.  versions: nct_id, seen, vid, rec (canonical).
+
+    Hashes of the records go through the window; whole records are fetched for the pairs that differ.
+    """
     w = Window.partitionBy("nct_id").orderBy("seen", "vid")
-    pairs = versions.withColumn("h", F.xxhash64(F.to_json("rec"))).withColumn("prev", F.lag(F.struct("rec", "h")).over(w))
-    differing = pairs.where(F.col("prev").isNotNull() & (F.col("prev.h") != F.col("h")))
-    rows = differing.select("nct_id", "seen", "vid", F.explode(events(F.col("prev.rec"), F.col("rec"))).alias("e"))
+    hashed = versions.select("nct_id", "seen", "vid", F.xxhash64(F.to_json("rec")).alias("h"))
+    pairs = hashed.withColumn("prev", F.lag(F.struct("seen", "vid", "h")).over(w)).where("prev is not null and prev.h <> h")
+    pairs = pairs.select("nct_id", "seen", "vid", F.col("prev.seen").alias("p_seen"), F.col("prev.vid").alias("p_vid"))
+    old = versions.select("nct_id", F.col("seen").alias("p_seen"), F.col("vid").alias("p_vid"), F.col("rec").alias("old"))
+    differing = pairs.join(versions.select("nct_id", "seen", "vid", "rec"), ["nct_id", "seen", "vid"]).join(old, ["nct_id", "p_seen", "p_vid"])
+    rows = differing.select("nct_id", "seen", "vid", F.explode(events(F.col("old"), F.col("rec"))).alias("e"))
     return rows.select(F.concat_ws("-", "nct_id", "vid", "e.change_type").alias("event_id"), "nct_id", "seen", "e.*")
 
 

@@ -180,13 +180,13 @@ def landscape_pivot(spark: SparkSession, d: str) -> DataFrame:
 
 
 def source_report(spark: SparkSession, d: str) -> DataFrame:
-    """A2-A4: per source what was retrieved, kept and merged."""
+    """A2-A4: per source what was retrieved, kept and merged; a source without any DOI stands for one that broke off."""
     return landscape.source_report(*_report(spark, d))
 
 
 def _report(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     a = table(spark, d, "articles").withColumn("source", landscape.source_key(F.trim("source")))
-    counts = a.groupBy("source").agg(F.count("*").cast("int").alias("retrieved"), F.max("article_id").alias("total"), F.lit(False).alias("failed"))
+    counts = a.groupBy("source").agg(F.count("*").cast("int").alias("retrieved"), F.max("article_id").alias("total"), (F.count_if(F.trim("doi") != "") == 0).alias("failed"))
     doi = resolve.clean_doi(F.col("doi"), F.col("published_doi"))
     first = a.withColumn("doi_c", doi).where("doi_c is not null").groupBy("doi_c").agg(F.min_by("source", "article_id").alias("source"))
     kept = first.select("source").unionAll(a.where(doi.isNull()).select("source"))
@@ -277,11 +277,11 @@ def date_span(spark: SparkSession, d: str) -> DataFrame:
 
 
 def inverted_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """abstracts rebuilt from their inverted index that differ from the original words (none)."""
+    """abstracts rebuilt from their inverted index."""
     a = table(spark, d, "articles").where("abstract is not null").select("article_id", F.trim(F.regexp_replace("abstract", r"\s+", " ")).alias("t"))
     words = F.split("t", " ")
     index = F.map_from_entries(F.transform(F.array_distinct(words), lambda w: F.struct(w, F.filter(F.transform(words, lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull()))))
-    return a.withColumn("again", text.inverted_text(index)).where("again <> t").select("article_id")
+    return a.select("article_id", text.inverted_text(index).alias("rebuilt"))
 
 
 def ris_export(spark: SparkSession, d: str) -> DataFrame:
@@ -351,10 +351,10 @@ _SQL_TOP = "list_max(list_transform(regexp_extract_all(phase, '[0-9]'), lambda x
 _SQL_STAGE = f"case when source = 'clinicaltrials.gov' then case when {_SQL_TOP} is null then 'Trial: no phase' when {_SQL_TOP} <= 1 then 'Trial: phase 1' when {_SQL_TOP} = 2 then 'Trial: phase 2' else 'Trial: phase 3+' end when trim(source) = 'Patent' then 'Patent' when regexp_matches(trim(source), '(?i)^(preprint|biorxiv|medrxiv)') then 'Preprint' when trim(source) in ('NIH', 'NSF') then 'Grant' else 'Paper' end"
 _SQL_SKEY = "case when regexp_matches(trim(source), '(?i)^(preprint|biorxiv|medrxiv)') then 'bioRxiv' else trim(source) end"
 _SQL_REPORT = f"""with a as (select *, {_SQL_SKEY} src, {_SQL_DOI} doi_c from articles),
-c as (select src, count(*) retrieved, max(article_id) total from a group by 1),
+c as (select src, count(*) retrieved, max(article_id) total, case when count(nullif(trim(doi), '')) = 0 then 'Stopped early' else 'OK' end st from a group by 1),
 f as (select arg_min(src, article_id) src from a where doi_c is not null group by doi_c union all select src from a where doi_c is null),
 u as (select src, count(*) u from f group by 1),
-r as (select c.src as source, total as matched, retrieved, coalesce(u, 0) as unique_n, greatest(0, retrieved - coalesce(u, 0)) as merged, 'OK' as status from c left join u using (src))"""
+r as (select c.src as source, total as matched, retrieved, coalesce(u, 0) as unique_n, greatest(0, retrieved - coalesce(u, 0)) as merged, st as status from c left join u using (src))"""
 _SQL_DAY = """coalesce(case when regexp_matches(publication_date, '^\\d{4}-\\d{2}-\\d{2}') then try_cast(publication_date[1:10] as date)
  when regexp_matches(publication_date, '^\\d{4}-\\d{2}$') then try_cast(publication_date || '-01' as date) when regexp_matches(publication_date, '^\\d{4}$') then try_cast(publication_date || '-01-01' as date)
  when regexp_matches(publication_date, '^\\d{1,2}/\\d{1,2}/\\d{4}$') then cast(try_strptime(publication_date, '%m/%d/%Y') as date)
@@ -386,7 +386,7 @@ select t.id as id, coalesce(m, case when tag = 'Non-descript' then u end, tag) a
     "bioinformatics_flag": "select article_id, regexp_matches(regexp_replace(concat_ws(' ', coalesce(title, ''), coalesce(abstract, '')), '<[^>]+>', '', 'g'), '(?i)(^|[^A-Za-z0-9])(" + "|".join(n.replace("-", " ").replace(" ", "[\\s\\x{a0}-]+") for n in tagging.COMPUTATIONAL) + ")($|[^A-Za-z0-9])') as flag from articles",
     "landscape_pivot": _sql_tagged(_VIRUS_VOC, _ARTICLE_ROWS.replace("article_id id", "article_id::varchar id") + " union all " + _TRIAL_ROWS) + f", g as (select tag, {_SQL_STAGE} st, status from tagged where tag <> 'Non-descript')" + " select tag as therapy, " + ", ".join(f"count(*) filter (st = '{s}') as {s.lower().replace(': ', '_').replace(' ', '_').replace('+', '_up')}" for s in landscape.STAGES) + f", count(*) filter (status in ({', '.join(repr(x) for x in landscape.RECRUITING)})) as recruiting, count(*) as total from g group by 1",
     "source_report": _SQL_REPORT + " select * from r",
-    "flow_totals": _SQL_REPORT + " select sum(matched) as matched, true as matched_complete, sum(retrieved) as retrieved, greatest(0, sum(retrieved) - (select count(*) from f)) as merged, (select count(*) from f) as unique_n from r",
+    "flow_totals": _SQL_REPORT + " select sum(matched) as matched, bool_and(status <> 'No response' and matched is not null) as matched_complete, sum(retrieved) as retrieved, greatest(0, sum(retrieved) - (select count(*) from f)) as merged, (select count(*) from f) as unique_n from r",
     "consensus_edges": "select modality, virus_family, count(*) as n, count(distinct vector_role) as n_sources, string_agg(distinct axp_id, ';' order by axp_id) as refs from program join virus using (axp_id) where modality is not null group by 1, 2 having count(distinct vector_role) >= 2",
     "gap_analysis": "select journal, count(*) as total, count(distinct source) as n_sources, case when count(*) >= 20 and count(distinct source) >= 3 then 'SUFFICIENT' else 'GAP' end as verdict from articles where journal is not null group by 1",
     "agreement_wilson": """with a as (select trim(source) source, lower(trim(doi)) k, try_cast(publication_date[1:4] as int) y from articles), p as (select lower(trim(doi)) k, list(distinct pub_year) filter (pub_year is not null) ys from paper group by 1),
@@ -404,7 +404,7 @@ select source, tagged, supported, conflict, unsupported, missed, both_none, roun
     "markdown_titles": "select article_id, regexp_replace(title, '([\\\\`*_\\[\\]<>])', '\\\\\\1', 'g') as title, replace(replace(replace(replace(replace(replace(doi, '%', '%25'), ' ', '%20'), '(', '%28'), ')', '%29'), '<', '%3C'), '>', '%3E') as target from articles",
     "publication_dates": f"select article_id, ({_SQL_DAY})::varchar as day from articles",
     "date_span": f"select trim(source) as source, min({_SQL_DAY})::varchar as first_day, max({_SQL_DAY})::varchar as last_day from articles group by 1",
-    "inverted_roundtrip": "select article_id from articles where false",
+    "inverted_roundtrip": "select article_id, trim(regexp_replace(abstract, '\\s+', ' ', 'g')) as rebuilt from articles where abstract is not null",
     "ris_export": "select article_id, concat_ws(chr(10), 'TY  - JOUR', 'TI  - ' || title, nullif(array_to_string(list_transform(list_filter(string_split_regex(coalesce(authors, ''), ';\\s*'), lambda x: x <> ''), lambda x: 'AU  - ' || x), chr(10)), ''), 'DO  - ' || doi, 'PY  - ' || publication_date[1:4], 'ER  - ') as ris from articles",
     "plot_filter": f"select article_id from (select *, {_SQL_DAY} dd from articles) where dd between '2018-01-01' and '2020-12-31' and is_open_access order by abstract is not null desc, dd desc, article_id limit 200",
 }

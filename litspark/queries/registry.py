@@ -68,10 +68,9 @@ def content_hashes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unseen_versions(spark: SparkSession, d: str) -> DataFrame:
-    """Deliveries whose trial and hash are not in the version store."""
-    o = table(spark, d, "observation").select(ids.nct_id("nct_id").alias("nct_id"), ids.hex_digest("content_hash").alias("h")).distinct()
-    v = table(spark, d, "trial_version").select(ids.nct_id("nct_id").alias("nct_id"), ids.hex_digest("content_hash").alias("h")).distinct()
-    return o.join(v, ["nct_id", "h"], "left_anti")
+    """Per snapshot the versions (trial and hash) that no snapshot before it delivered."""
+    o = table(spark, d, "observation").select("snapshot_date", ids.nct_id("nct_id").alias("nct_id"), ids.hex_digest("content_hash").alias("h"))
+    return o.groupBy("nct_id", "h").agg(F.min("snapshot_date").alias("snapshot_date")).groupBy("snapshot_date").agg(F.count("*").alias("n"))
 
 
 def observed_versions(spark: SparkSession, d: str) -> DataFrame:
@@ -607,7 +606,7 @@ SQL = {
     "status_changes": f"""with v as (select {_N} k, {_S} s, version_id, upper(regexp_replace(trim(record->>'overall_status'), '[\\s,-]+', '_', 'g')) st from trial_version),
 p as (select *, lag(st) over w ps, row_number() over w rn from v window w as (partition by k order by s, version_id))
 select k as nct_id, s[1:4] || '-' || s[5:6] || '-' || s[7:8] as event_date, case when st in ('TERMINATED','WITHDRAWN','SUSPENDED','COMPLETED','ACTIVE_NOT_RECRUITING') then 'major' else 'minor' end as significance, ps as before from p where rn > 1 and st is distinct from ps""",
-    "unseen_versions": f"select distinct {_N} as nct_id, {_H} as h from observation except select {_N}, {_H} from trial_version",
+    "unseen_versions": f"select snapshot_date, count(*) as n from (select {_N} k, {_H} h, min(snapshot_date) snapshot_date from observation group by 1, 2) group by 1",
     "change_events": f"with {_EVENTS} select * from evs",
     "change_feed": f"{_LATEST}, {_EVENTS} select evs.*, r->>'brief_title' as brief_title from (select * from evs where significance in ('major', 'minor') and event_date >= '2026-01-01' order by event_date desc, case significance when 'major' then 0 when 'minor' then 1 else 2 end, event_id limit 200) evs left join l on l.k = nct_id",
     "change_feed_vaccines": f"{_LINKS}, {_EVENTS} select event_id, nct_id, r->>'brief_title' as brief_title from (select * from evs where significance = 'major' and event_date >= '2026-01-01' and nct_id in (select nct_id from links join program using (axp_id) where links.status = 'auto' and lower(modality) = 'vaccine') order by event_date desc, event_id limit 200) join l on l.k = nct_id",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -16,11 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a private one only where it is unset (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``; a private one only where it is unset and all runs in one process (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return sc._jsc.sc().getCheckpointDir().get()
+    if not named and not sc.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a shared folder")
     sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "litspark-checkpoints"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -41,7 +45,9 @@ def ship_package(spark: SparkSession) -> None:
         return
     _SHIPPED.add(sc.applicationId)
     package = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="litspark-")) / "litspark.zip"
+    folder = tempfile.mkdtemp(prefix="litspark-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # the driver serves the file as long as it runs
+    target = Path(folder) / "litspark.zip"
     with zipfile.ZipFile(target, "w") as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f"{package.name}/{f.relative_to(package)}")
