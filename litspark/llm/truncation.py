@@ -76,15 +76,16 @@ def _token_id(token: str) -> int:
 
 
 def _ids(text: str, memo: dict[str, int]) -> list[int]:
-    out = []
-    for t in _TOKEN.findall(text):
-        v = memo.get(t)
-        if v is None:
-            if len(memo) > 2_000_000:
-                memo.clear()
-            v = memo[t] = _token_id(t)
-        out.append(v)
-    return out
+    tokens = _TOKEN.findall(text)
+    try:
+        return [memo[t] for t in tokens]
+    except KeyError:
+        if len(memo) > 2_000_000:
+            memo.clear()
+        for t in tokens:
+            if t not in memo:
+                memo[t] = _token_id(t)
+        return [memo[t] for t in tokens]
 
 
 def group_keys(kept: np.ndarray) -> dict[int, np.ndarray]:
@@ -101,9 +102,14 @@ def group_keys(kept: np.ndarray) -> dict[int, np.ndarray]:
     return out
 
 
-def bare(text: str) -> tuple[str, str]:
+def _squeezed(tidied: str) -> str:
+    plain = "".join(tidied.split()).lower()
+    return plain if plain.isascii() else plain.translate(_ZERO_WIDTH)
+
+
+def bare(text: str, tidied: str | None = None) -> tuple[str, str]:
     """(squeezed text, the same without the sign of a cut and what is open at its end): no blanks, markup and entities, lower case."""
-    squeezed = "".join(tidy(text).split()).lower().translate(_ZERO_WIDTH)
+    squeezed = _squeezed(tidy(text) if tidied is None else tidied)
     t = text.rstrip()
     end = t[-TAIL:]
     m = _SURE.search(end) or _DOTS.search(end) if end[-1:] in ".…>])eED;" or "hellip" in end[-9:] else None
@@ -112,7 +118,7 @@ def bare(text: str) -> tuple[str, str]:
         kept = kept[: o.start()]
     if len(kept) == len(end):
         return squeezed, squeezed
-    return squeezed, "".join(tidy(t[: len(t) - len(end)] + kept).split()).lower().translate(_ZERO_WIDTH)
+    return squeezed, _squeezed(tidy(t[: len(t) - len(end)] + kept))
 
 
 def _hash(text: str) -> int:
@@ -211,10 +217,11 @@ def whole_pass(docs: DataFrame, wanted: DataFrame, live: DataFrame, per_key: int
             groups, prefixes = (Filter(w) for w in filters.value)
             for b in batches:
                 texts = b["text"].tolist()
+                tidied = [tidy(t) for t in texts]
                 for i in range(0, len(texts), 2000):
                     flat: list[int] = []
-                    for t in texts[i : i + 2000]:
-                        flat += _ids(tidy(t).rstrip(), memo)
+                    for t in tidied[i : i + 2000]:
+                        flat += _ids(t.rstrip(), memo)
                         flat.append(0)
                     full = np.array(flat, dtype=np.int64)
                     following = np.append(full[1:], 0)
@@ -234,7 +241,7 @@ def whole_pass(docs: DataFrame, wanted: DataFrame, live: DataFrame, per_key: int
                         found.append(pd.DataFrame({"key": uniq, "n": np.bincount(inv, minlength=len(uniq)).astype(np.int64), "stop": ends}))
                     yield pd.concat(found).astype({"key": "Int64", "n": "Int64", "stop": "Int64"}).assign(h=pd.NA, squeezed=None)
                 if n_live:
-                    both = [bare(t) for t in texts]
+                    both = [bare(t, x) for t, x in zip(texts, tidied, strict=True)]
                     steps = [ladder(s) for _, s in both]
                     owner = np.repeat(np.arange(len(steps)), [len(x) for x in steps])
                     of = sorted(set(owner[prefixes.hits(np.array([x for y in steps for x in y], dtype=np.int64))].tolist()))
