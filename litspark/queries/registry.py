@@ -607,6 +607,9 @@ SQL = {
 p as (select *, lag(st) over w ps, row_number() over w rn from v window w as (partition by k order by s, version_id))
 select k as nct_id, s[1:4] || '-' || s[5:6] || '-' || s[7:8] as event_date, case when st in ('TERMINATED','WITHDRAWN','SUSPENDED','COMPLETED','ACTIVE_NOT_RECRUITING') then 'major' else 'minor' end as significance, ps as before from p where rn > 1 and st is distinct from ps""",
     "unseen_versions": f"select snapshot_date, count(*) as n from (select {_N} k, {_H} h, min(snapshot_date) snapshot_date from observation group by 1, 2) group by 1",
+    "alias_keys_wide": f"select distinct alias, {_sql_key('alias')} as key from alias where not regexp_full_match(alias, '[\\x00-\\x7F]*')",
+    "intervention_links_wide": f"{_LATEST}, {_AL}, x as (select k, unnest(from_json(r->'interventions', '[{{\"name\":\"VARCHAR\"}}]')) e from l) select distinct k as nct_id, axp_id from x join al on al.key = {_sql_key('e.name')} where not regexp_full_match(al.key, '[A-Z0-9]+')",
+    "modality_trials_wide": f"{_LATEST}, {_AL}, x as (select k, unnest(from_json(r->'interventions', '[{{\"name\":\"VARCHAR\"}}]')) e from l) select distinct k as nct_id from x join al on al.key = {_sql_key('e.name')} where not regexp_full_match(al.key, '[A-Z0-9]+') and axp_id in (select axp_id from program where modality = 'vaccine')",
     "change_events": f"with {_EVENTS} select * from evs",
     "change_feed": f"{_LATEST}, {_EVENTS} select evs.*, r->>'brief_title' as brief_title from (select * from evs where significance in ('major', 'minor') and event_date >= '2026-01-01' order by event_date desc, case significance when 'major' then 0 when 'minor' then 1 else 2 end, event_id limit 200) evs left join l on l.k = nct_id",
     "change_feed_vaccines": f"{_LINKS}, {_EVENTS} select event_id, nct_id, r->>'brief_title' as brief_title from (select * from evs where significance = 'major' and event_date >= '2026-01-01' and nct_id in (select nct_id from links join program using (axp_id) where links.status = 'auto' and lower(modality) = 'vaccine') order by event_date desc, event_id limit 200) join l on l.k = nct_id",
