@@ -8,6 +8,8 @@ nothing; every row keeps its other columns.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,6 +119,10 @@ def mesh_axis(trees: Column) -> Column:
     return F.when(under("B04"), "virus").when(under("B03"), "bacteria").when(under("A11") & under("A15"), "cell")
 
 
+def _matched(pattern: str) -> Callable[[Column], Column]:
+    return lambda t: F.length(F.regexp_extract(t, pattern, 0))
+
+
 def descriptor_categories(mesh: DataFrame, vocabularies: dict[str, Vocabulary]) -> DataFrame:
     """term, axis, category of each descriptor that lies on an axis; category null where no name of the axis fits it.
 
@@ -127,7 +133,7 @@ def descriptor_categories(mesh: DataFrame, vocabularies: dict[str, Vocabulary])
     plain = F.transform("texts", lambda t: F.regexp_replace(F.trim(t), "[-/]+", " "))
     out = None
     for axis, vocab in vocabularies.items():
-        found = [F.struct(F.array_max(F.transform("plain", lambda t, c=c: F.length(F.regexp_extract(t, c.pattern, 0)))).alias("n"), F.lit(-i).alias("o"), F.lit(c.name).alias("name")) for i, c in enumerate(vocab.compiled())]
+        found = [F.struct(F.array_max(F.transform("plain", _matched(c.pattern))).alias("n"), F.lit(-i).alias("o"), F.lit(c.name).alias("name")) for i, c in enumerate(vocab.compiled())]
         best = F.array_max(F.array(*found)) if found else F.lit(None).cast("struct<n:int,o:int,name:string>")
         part = rows.where(F.col("axis") == axis).withColumn("plain", plain).withColumn("b", best).select("term", "axis", F.when(F.col("b.n") > 0, F.col("b.name")).alias("category"))
         out = part if out is None else out.unionByName(part)
