@@ -210,7 +210,7 @@ def session_hash(c: Column | str, salt: str = "") -> Column:
 def log_time(c: Column | str) -> Column:
     """A log's time stamp: ISO with or without zone, or with a zone's name behind it, which is dropped."""
     t = F.trim(_c(c))
-    bare = F.regexp_replace(F.replace(t, F.lit("T"), F.lit(" ")), r"\s*(?:Z|[A-Z]{2,5})$", "")
+    bare = F.regexp_replace(F.regexp_replace(t, "(?<=[0-9])T(?=[0-9])", " "), r"\s*(?:Z|[A-Z]{2,5})$", "")
     return F.try_to_timestamp(bare)
 
 
