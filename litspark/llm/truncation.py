@@ -246,7 +246,8 @@ def whole_pass(docs: DataFrame, wanted: DataFrame, live: DataFrame, per_key: int
                     owner = np.repeat(np.arange(len(steps)), [len(x) for x in steps])
                     of = sorted(set(owner[prefixes.hits(np.array([x for y in steps for x in y], dtype=np.int64))].tolist()))
                     rows = {both[x]: None for x in of}  # copies within the batch are one
-                    yield pd.DataFrame({"key": pd.NA, "n": pd.NA, "stop": pd.NA, "h": [_hash(s) for s, _ in rows], "squeezed": [s for _, s in rows]})
+                    if rows:  # without any, pandas would make squeezed a column of numbers, which Arrow can't turn into strings
+                        yield pd.DataFrame({"key": pd.NA, "n": pd.NA, "stop": pd.NA, "h": [_hash(s) for s, _ in rows], "squeezed": [s for _, s in rows]})
 
         parts.append(docs.select("text").mapInPandas(run, "key long, n long, stop long, h long, squeezed string"))
     return reduce(DataFrame.unionByName, parts)

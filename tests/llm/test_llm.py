@@ -485,3 +485,12 @@ def test_several_passes_count_the_same(spark):
         seen = truncation.whole_pass(df, wanted, none, 16 if most > 1 else 1 << 13, most)
         rows.append({(r["key"], r.n, r.stop) for r in seen.groupBy("key").agg(F.sum("n").alias("n"), F.sum("stop").alias("stop")).join(wanted, "key").collect()})
     assert rows[0] == rows[1] and len(rows[0]) > 5
+
+
+def test_batches_without_longer_copies(spark):
+    # one task meets the prefix of an open text, the other ones none
+    rows = [("The sponsor reported lasting benefit in",), ("The sponsor reported lasting benefit in children.",)]
+    df = spark.createDataFrame(rows, "text string").coalesce(1).unionAll(spark.createDataFrame([(f"{WORDS[i % 7]} has ended.",) for i in range(20)], "text string"))
+    df = df.select(F.monotonically_increasing_id().alias("doc_id"), "text", F.lit("s").alias("source"))
+    assert df.rdd.getNumPartitions() > 1
+    assert {(r.doc_id, r.why) for r in truncation.truncated(df, "doc_id", "text", "source").collect()} == {(0, "longer copy")}
