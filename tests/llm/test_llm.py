@@ -242,6 +242,33 @@ def test_misspelt_and_cut_titles_meet(spark):
     assert {(x[0], y[0]) for x in left for y in right if near(x[1], y[1]) and x[0][1:] == y[0][1:]} <= got
 
 
+def _title_sides(spark, *sides):
+    return [spark.createDataFrame([(i, t) for i, t in enumerate(x)], "t long, norm string") for x in sides]
+
+
+@pytest.mark.parametrize("room", [1000, 7])
+def test_first_words_of_very_many_titles_are_keys(spark, monkeypatch, room):
+    monkeypatch.setattr(linkage, "ROOM", room, raising=False)
+    rnd = random.Random(12)
+    fill = [f"w{chr(97 + i)}{chr(97 + i)}ord" for i in range(26)]
+    right = sorted({" ".join(["a phase one trial of oral dosing", *rnd.sample(fill, 6 + i % 3), f"end{i}x"]) for i in range(120)})
+    # cut after a few words, with a word misspelt, or with other words behind the first ones
+    left = sorted({" ".join(t.split()[: 9 + i % 3]) if i % 3 else t.replace("word", "wrod", 2).replace(f"end{t.split('end')[1]}", f"zz{i}") for i, t in enumerate(right)} | {" ".join(["a phase one trial of oral dosing", *(f"other{i}{j}" for j in range(9))]) for i in range(5)})
+    got = {(r.l_t, r.r_t) for r in linkage.candidates(*_title_sides(spark, left, right), 20_000).collect()}
+    want = {(i, j) for i, x in enumerate(left) for j, y in enumerate(right) if any(titles.compare(x, y, c, False)[0] >= linkage.ALIKE for c in (True, False))}
+    assert want <= got and len(want) > 120
+
+
+@pytest.mark.parametrize("frequent", [0, 3, 25])
+def test_candidates_do_not_depend_on_the_words_sent(spark, frequent):
+    rnd = random.Random(13)
+    fill = [f"w{chr(97 + i)}{chr(97 + i)}ord" for i in range(26)]
+    one = lambda i: " ".join([*rnd.sample(fill, 9), f"drug{i % 40}x"])
+    sides = _title_sides(spark, *[sorted({one(i) for i in range(n)}) for n in (150, 90)])
+    want, got = ({(r.l_t, r.r_t) for r in linkage.candidates(*sides, k).collect()} for k in (20_000, frequent))
+    assert got == want and len(want) > 100
+
+
 def test_registrants_beyond_a_thousand_count(spark, tmp_path, monkeypatch):
     from litspark.llm import queries
 
